@@ -30,8 +30,7 @@ def parse_payload(c: Column) -> Column:
     body = json_body(c)
 
     def parsed(text: Column) -> Column:
-        p = F.from_json(text, PAYLOAD_TYPE, {"mode": "PERMISSIVE"})
-        return F.when(F.coalesce(p["answer"], p["chart_type"]).isNotNull() | p["chart_data"].isNotNull(), p)
+        return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, PAYLOAD_TYPE))
 
     plain = F.struct(
         strip(c).alias("answer"),

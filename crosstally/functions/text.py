@@ -14,6 +14,15 @@ from .numbers import clamp01
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 BAND_LIMITS = (0.33, 0.67)
 CONTEXT_LIMIT = 4000
+# Fragments of file names and the bank they stand for, first match first.
+BANK_NAMES = [
+    ("JP Morgan Chase", ("jpmorgan", "jp morgan")),
+    ("Bank of America", ("bankofamerica", "bank of america")),
+    ("Wells Fargo", ("wells",)),
+    ("Citigroup", ("citi",)),
+    ("Goldman Sachs", ("goldman",)),
+    ("Morgan Stanley", ("morgan stanley",)),
+]
 
 
 def word_set(c: Column) -> Column:
@@ -94,7 +103,7 @@ def prefix(c: Column, n: int) -> Column:
 def clean_reply(c: Column) -> Column:
     """Turn escaped newlines into real ones, drop other backslashes, strip lines, drop empty lines."""
     text = F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\"))
-    lines = F.transform(F.split(text, "\r\n|\n|\r"), strip)
+    lines = F.transform(F.split(text, r"\R"), strip)
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -109,7 +118,7 @@ def fill_template(template: Column | str, values: dict[str, Column]) -> Column:
     return reduce(lambda t, kv: F.replace(t, F.lit(f"${kv[0]}$"), kv[1]), values.items(), start)
 
 
-def canonical_name(c: Column, patterns: list[tuple[str, tuple[str, ...]]], default: str = "Unknown") -> Column:
+def canonical_name(c: Column, patterns: list[tuple[str, tuple[str, ...]]] = BANK_NAMES, default: str = "Unknown") -> Column:
     """Name of the first entry one of whose fragments occurs in the text, ignoring case."""
     text = F.lower(c)
     hits = [F.when(reduce(lambda a, b: a | b, [text.contains(p) for p in parts]), name) for name, parts in patterns]

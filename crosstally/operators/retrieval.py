@@ -58,6 +58,10 @@ def query_terms(text: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def occurrences(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
+
+
 def keyword_hits(df: DataFrame, key: str, text: str, queries: dict[str, str], k: int = TEXT_HITS) -> DataFrame:
     """Best ``k`` rows per query text by BM25: ``query, key, score, position``.
 
@@ -67,7 +71,7 @@ def keyword_hits(df: DataFrame, key: str, text: str, queries: dict[str, str], k:
     wanted = list(dict.fromkeys(t for s in queries.values() for t in query_terms(s)))
     counted = df.select(q(key), terms(q(text)).alias("__t")).select(
         q(key), F.size("__t").alias("len"),
-        *[F.size(F.filter("__t", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(wanted)])
+        *[occurrences("__t", t).alias(f"tf{i}") for i, t in enumerate(wanted)])
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"),
         *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
@@ -162,10 +166,13 @@ def citation_list(refs: DataFrame) -> DataFrame:
 
 def facet_counts(hits: DataFrame, facets: list[str]) -> DataFrame:
     """Hits per value of every facet; array facets count each element. One scan for all facets."""
-    values = F.flatten(F.array(*[
-        F.transform(q(f) if dict(hits.dtypes)[f].startswith("array") else F.array(q(f)),
-                    lambda v, f=f: F.struct(F.lit(f).alias("facet"), v.cast("string").alias("value")))
-        for f in facets]))
+    types = dict(hits.dtypes)
+
+    def entries(f: str) -> Column:
+        elements = q(f) if types[f].startswith("array") else F.array(q(f))
+        return F.transform(elements, lambda v: F.struct(F.lit(f).alias("facet"), v.cast("string").alias("value")))
+
+    values = F.flatten(F.array(*[entries(f) for f in facets]))
     return hits.select(F.inline(values)).filter(F.col("value").isNotNull()).groupBy("facet", "value").agg(
         F.count(F.lit(1)).alias("hits"))
 

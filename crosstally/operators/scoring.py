@@ -30,9 +30,11 @@ def term_similarity(df: DataFrame, ids: list[str], slots: list[str], pairs: list
     keep = keep or []
     n = len(slots)
     spots = {s: i for i, s in enumerate(slots)}
-    tagged = F.flatten(F.array(*[
-        F.transform(terms(q(s)), lambda t, i=i: F.struct(F.lit(i).alias("slot"), t.alias("term")))
-        for i, s in enumerate(slots)]))
+
+    def in_slot(i: int):
+        return lambda t: F.struct(F.lit(i).alias("slot"), t.alias("term"))
+
+    tagged = F.flatten(F.array(*[F.transform(terms(q(s)), in_slot(i)) for i, s in enumerate(slots)]))
     long = df.select(*[q(c) for c in ids + keep], F.explode_outer(tagged).alias("t"))
     carried = [F.first(c).alias(c) for c in keep]
     per_term = long.groupBy(*[q(c) for c in ids], F.col("t.term").alias("term")).agg(

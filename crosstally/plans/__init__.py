@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("reconciliation", "register", "evaluation")
+FAMILIES = ("reconciliation", "register", "evaluation", "charts", "documents")
 
 
 def load_all() -> None:
