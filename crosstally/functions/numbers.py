@@ -25,9 +25,13 @@ def number_from_thousands(c: Column) -> Column:
     return to_number(F.replace(c, F.lit(",")))
 
 
+def money_digits(c: Column) -> Column:
+    """Text without thousands commas, pound, dollar and euro signs and outer blanks."""
+    return strip(F.regexp_replace(c, "[,£$€]", ""))
+
+
 def number_from_money(c: Column) -> Column:
-    """Number from text with thousands commas and a pound, dollar or euro sign."""
-    return to_number(strip(F.regexp_replace(c, "[,£$€]", "")))
+    return to_number(money_digits(c))
 
 
 def threshold_flag(c: Column, at_least: float = 50) -> Column:

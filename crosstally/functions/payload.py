@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .keys import strip
-from .numbers import number_from_money, to_number
+from .numbers import money_digits, number_from_money, to_number
 
 CHART_TYPE = "struct<header:array<string>,rows:array<array<string>>>"
 PAYLOAD_TYPE = (
@@ -55,16 +55,15 @@ def _rebuilt(charts: Column, clean_rows) -> Column:
 
 def clean_charts(charts: Column) -> Column:
     """Keep rows as wide as the header (2 or 3 columns used) whose last used cell is a number once
-    commas and currency signs are gone; charts left without rows disappear."""
+    commas and currency signs are gone; charts left without rows disappear. Numbers stay text in the
+    payload type, in the digits given, ready to cast."""
 
     def rows(ch: Column) -> Column:
         used = F.least(F.size(ch["header"]), F.lit(3))
         fit = F.filter(ch["rows"], lambda r: F.size(r) == F.size(ch["header"]))
-        as_number = lambda r: number_from_money(F.get(r, used - 1))
-        good = F.filter(fit, lambda r: as_number(r).isNotNull())
-        return F.transform(
-            good, lambda r: F.concat(F.slice(r, 1, used - 1), F.array(as_number(r).cast("string")))
-        )
+        last = lambda r: F.get(r, used - 1)
+        good = F.filter(fit, lambda r: number_from_money(last(r)).isNotNull())
+        return F.transform(good, lambda r: F.concat(F.slice(r, 1, used - 1), F.array(money_digits(last(r)))))
 
     return _rebuilt(charts, rows)
 
@@ -83,7 +82,7 @@ def clean_charts_typed(charts: Column) -> Column:
         fit = F.filter(ch["rows"], lambda r: F.size(r) == F.size(ch["header"]))
         return F.transform(fit, lambda r: F.transform(r, lambda v, i: F.when(
             F.coalesce(F.get(numeric, i), F.lit(False)),
-            F.coalesce(number_from_money(v).cast("string"), v)).otherwise(v)))
+            F.when(number_from_money(v).isNotNull(), money_digits(v)).otherwise(v)).otherwise(v)))
 
     return _rebuilt(charts, rows)
 

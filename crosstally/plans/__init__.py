@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("reconciliation", "register", "evaluation", "charts", "documents")
+FAMILIES = ("reconciliation", "register", "evaluation", "charts", "documents", "catalogue", "streams")
 
 
 def load_all() -> None:

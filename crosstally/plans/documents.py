@@ -264,11 +264,11 @@ def scl17(spark, sf):
     return rows.select("l_suppkey", F.get("r", F.lit(0)).alias("flag"), F.get("r", F.lit(1)).cast("double").alias("total"))
 
 
-@query("scl18_clean_charts_typed", """SELECT l_suppkey, l_returnflag AS flag, round(sum(l_extendedprice), 2)::VARCHAR AS total FROM lineitem GROUP BY 1, 2
+@query("scl18_clean_charts_typed", """SELECT l_suppkey, l_returnflag AS flag, format('{:.2f}', sum(l_extendedprice)) AS total FROM lineitem GROUP BY 1, 2
 UNION ALL SELECT DISTINCT l_suppkey, 'open', NULL FROM lineitem UNION ALL SELECT DISTINCT l_suppkey, 'unknown', 'n/a' FROM lineitem""")
 def scl18(spark, sf):
     pairs = supplier_rows(spark, sf).groupBy("l_suppkey").agg(F.array_sort(F.collect_list(
-        F.array(F.col("l_returnflag"), F.round("total", 2).cast("string")))).alias("rows"))
+        F.array(F.col("l_returnflag"), F.replace(F.format_number("total", 2), F.lit(","))))).alias("rows"))
     extra = F.array(F.array(F.lit("open"), F.lit(None).cast("string")), F.array(F.lit("unknown"), F.lit("n/a")), F.array(F.lit("short")))
     charts = F.array(F.struct(F.array(F.lit("Flag"), F.lit("Total")).alias("header"), F.concat("rows", extra).alias("rows")))
     done = pairs.select("l_suppkey", F.explode(payload.clean_charts_typed(charts)).alias("c")).select("l_suppkey", F.explode("c.rows").alias("r"))
