@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 # Size limit, word lists and entity types of the guard configuration.
@@ -31,9 +29,24 @@ PII_PATTERNS = {
     "PIN": r"PIN[ ]*[:=]?[ ]*[0-9]{4,6}",
 }
 
+# A cheap condition every match implies; a text without it is not searched with the full pattern.
+PII_HINTS = {
+    "EMAIL": lambda c: c.contains("@"),
+    "AWS_ACCESS_KEY": lambda c: c.contains("AKIA") | c.contains("ASIA"),
+    "MAC_ADDRESS": lambda c: c.rlike("[0-9A-Fa-f][:-][0-9A-Fa-f]{2}[:-]"),
+    "IP_ADDRESS": lambda c: c.rlike(r"[0-9]\.[0-9]"),
+    "BANK_ACCOUNT_NUMBER": lambda c: c.rlike("[A-Z][0-9]{2}"),
+    "CREDIT_DEBIT_NUMBER": lambda c: c.rlike("[0-9]{4}"),
+    "SSN": lambda c: c.rlike("[0-9]-[0-9]{2}-[0-9]"),
+    "PHONE": lambda c: c.rlike("[ .-][0-9]{3,4}[ .-][0-9]{4}"),
+    "PASSWORD": lambda c: c.contains("passw") | c.contains("pwd"),
+    "PIN": lambda c: c.contains("PIN"),
+}
+
 
 def pii_count(c: Column, entity: str) -> Column:
-    return F.regexp_count(c, F.lit(PII_PATTERNS[entity])).cast("bigint")
+    found = F.regexp_count(c, F.lit(PII_PATTERNS[entity])).cast("bigint")
+    return F.when(PII_HINTS[entity](c), found).otherwise(F.when(c.isNotNull(), F.lit(0).cast("bigint")))
 
 
 def pii_counts(c: Column, entities=tuple(PII_PATTERNS)) -> dict[str, Column]:
@@ -43,7 +56,14 @@ def pii_counts(c: Column, entities=tuple(PII_PATTERNS)) -> dict[str, Column]:
 
 def redact(c: Column, entities=tuple(PII_PATTERNS)) -> Column:
     """Replace every match by ``[TYPE]``, type after type."""
-    return reduce(lambda t, e: F.regexp_replace(t, PII_PATTERNS[e], f"[{e}]"), entities, c)
+    for e in entities:
+        # The one-element array names the text so far, so that it is computed once.
+        c = F.transform(F.array(c), _replacer(e))[0]
+    return c
+
+
+def _replacer(entity: str):
+    return lambda t: F.when(PII_HINTS[entity](t), F.regexp_replace(t, PII_PATTERNS[entity], f"[{entity}]")).otherwise(t)
 
 
 def _any_word(words) -> str:

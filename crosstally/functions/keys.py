@@ -8,9 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 BLANKS = r"[\s\p{Z}]"
 
 
+BLANK_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    """Remove leading and trailing white space of every kind (``trim`` only removes spaces)."""
-    return F.regexp_replace(c, f"^{BLANKS}+|{BLANKS}+$", "")
+    """Remove leading and trailing white space of every kind (``trim`` alone only removes spaces)."""
+    return F.btrim(c, F.lit(BLANK_CHARACTERS))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -35,13 +41,14 @@ def basic_key(c: Column, missing: str | None = None) -> Column:
 
 def robust_key(c: Column) -> Column:
     """Strip, drop a trailing ``.0`` left by numeric ids, lower-case; blank and 'nan' become null."""
-    key = F.lower(strip(F.regexp_replace(strip(c), r"\.0$", "")))
+    text = strip(c)
+    key = F.lower(strip(F.when(text.endswith(".0"), F.left(text, F.length(text) - 2)).otherwise(text)))
     return F.when(~key.isin("", "nan"), key)
 
 
 def unpadded_key(c: Column, lower: bool = True) -> Column:
     """Strip and remove leading zeros, so ``'000123'`` equals ``'123'``."""
-    key = F.regexp_replace(strip(c), "^0+", "")
+    key = F.ltrim(strip(c), F.lit("0"))
     return F.lower(key) if lower else key
 
 

@@ -21,6 +21,8 @@ SUPPORTED_FORMATS = {
     "audio": [".mp3", ".wav", ".m4a"],
     "video": [".mp4", ".avi", ".mov"],
 }
+SIZE_ERROR = "File size (%.1fMB) exceeds maximum allowed size (%.1fMB)"
+TYPE_ERROR = "Unsupported file type: %s. Supported types: %s"
 # A number (thousands commas and decimals allowed) followed by a percent sign or a word as its unit.
 QUANTITY_PATTERN = r"[0-9][0-9,]*(\.[0-9]+)? ?(%|[A-Za-z]+)"
 
@@ -55,10 +57,8 @@ def validate_files(df: DataFrame, path: str = "path", length: str = "length", ma
     ext = F.when(file_extension(q(path)) != "", F.concat(F.lit("."), file_extension(q(path)))).otherwise("")
     size = q(length) / F.lit(1024.0 * 1024.0)
     errors = F.array_compact(F.array(
-        F.when(size > max_mb, F.format_string(
-            "File size (%.1fMB) exceeds maximum allowed size (%.1fMB)", size, F.lit(float(max_mb)))),
-        F.when(~ext.isin(*allowed), F.concat(
-            F.lit("Unsupported file type: "), ext, F.lit(". Supported types: " + ", ".join(allowed)))),
+        F.when(size > max_mb, F.format_string(SIZE_ERROR, size, F.lit(float(max_mb)))),
+        F.when(~ext.isin(*allowed), F.format_string(TYPE_ERROR, ext, F.lit(", ".join(allowed)))),
     ))
     return df.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
 
@@ -76,7 +76,7 @@ def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     tf = df.select(q(key), F.explode(terms(q(text))).alias("term")).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf"))
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n = df.agg(F.count(F.lit(1))).scalar()
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
     return tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))

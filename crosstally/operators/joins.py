@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .schema import q
 
@@ -31,3 +31,22 @@ def join_totals(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     t = totals.select(*[q(k).alias(f"__{k}") for k in keys], *[q(c) for c in totals.columns if c not in keys])
     test = [q(k).eqNullSafe(q(f"__{k}")) for k in keys]
     return df.join(t, test, "left").drop(*[f"__{k}" for k in keys])
+
+
+def salted_totals(df: DataFrame, totals: DataFrame, keys: list[str], spread: Column, salts: int = 32) -> DataFrame:
+    """Inner form of :func:`join_totals` for use before another aggregation by the same keys.
+
+    There Spark would reuse the join's partitioning, leave a hot group in one task and not split it.
+    Here the group's rows are spread over ``salts`` partitions by the hash of ``spread`` and its one
+    row of figures is repeated for each. Rows should differ in ``spread`` (count copies first).
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    t = totals.select(*[q(k).alias(f"__{k}") for k in keys], *[q(c) for c in totals.columns if c not in keys],
+                      F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__t"))
+    test = [F.col("__s") == F.col("__t")] + [q(k).eqNullSafe(q(f"__{k}")) for k in keys]
+    return df.withColumn("__s", salt).join(t, test).drop("__s", "__t", *[f"__{k}" for k in keys])
+
+
+def figures(df: DataFrame, **aggregates: Column) -> Column:
+    """Aggregates over all rows as one struct, read by a scalar subquery: one pass, one row, no join."""
+    return df.agg(F.struct(*[c.alias(n) for n, c in aggregates.items()]).alias("s")).scalar()

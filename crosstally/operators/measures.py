@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import safe_ratio, threshold_flag, to_number
 from .filters import all_of, equal_to, in_runs
-from .joins import join_totals
+from .joins import figures, join_totals, salted_totals
 from .schema import q
 
 # Revenue classes (upper bounds, each range open below and closed above) and their labels.
@@ -147,57 +147,71 @@ def histogram(df: DataFrame, column: str, bins: int, low: float, high: float, by
 
 def histogram_over_range(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Counts in equal bins between the smallest and the largest value found."""
-    limits = df.agg(F.min(q(column)).alias("lo"), F.max(q(column)).alias("hi"))
-    lo, hi = limits.select("lo").scalar(), limits.select("hi").scalar()
-    binned = df.filter(q(column).isNotNull()).select(q(column).alias("c"), lo.alias("lo"), hi.alias("hi"))
+    limits = figures(df, lo=F.min(q(column)), hi=F.max(q(column)))
+    binned = df.filter(q(column).isNotNull()).select(q(column).alias("c"), limits.alias("s")).select("c", "s.*")
     width = (F.col("hi") - F.col("lo")) / bins
     index = F.coalesce(F.least(F.floor(F.try_divide(F.col("c") - F.col("lo"), width)), F.lit(bins - 1)), F.lit(0))
     return binned.groupBy(index.cast("bigint").alias("bin"), "lo", "hi").agg(n_rows().alias("rows")).select(
         "bin", (F.col("lo") + F.col("bin") * width).alias("bin_from"), "rows")
 
 
-def quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], accuracy: int = 1000) -> DataFrame:
-    """Exact interpolated quantiles per group without gathering a group in one task.
+def value_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Rows per group and value (``v``, ``n``): copies of a value collapse in the map tasks."""
+    return df.filter(q(column).isNotNull()).groupBy(*[q(k) for k in keys], q(column).cast("double").alias("v")).agg(
+        n_rows().alias("n"))
 
-    A mergeable sketch first brackets every wanted rank; only values inside the bracket (about
-    4/accuracy of the group) are ranked, all others are merely counted.
+
+def quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], accuracy: int = 10000) -> DataFrame:
+    """Exact interpolated quantiles per group (one ``p``, ``value`` row each) without gathering a group
+    in one task.
+
+    A mergeable sketch first brackets every wanted rank. Only values inside the bracket (about
+    4/accuracy of the group) are ranked; all smaller ones are merely counted. Groups too small for
+    the sketch to leave a margin of several ranks are ranked whole. Reads ``df`` twice.
     """
-    values = df.filter(q(column).isNotNull()).select(*[q(k) for k in keys], q(column).cast("double").alias("v"))
-    counts = values.groupBy(*[q(k) for k in keys], "v").agg(n_rows().alias("n"))
+    group = [q(k) for k in keys]
     margin = 2.0 / accuracy
     grid = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    sketch = values.groupBy(*[q(k) for k in keys]).agg(
-        n_rows().alias("total"), F.percentile_approx("v", [float(g) for g in grid], accuracy).alias("grid"))
-    k = len(probs)
+    sketch = df.filter(q(column).isNotNull()).groupBy(*group).agg(
+        n_rows().alias("total"),
+        F.max(q(column).cast("double")).alias("top"),
+        F.percentile_approx(q(column).cast("double"), [float(g) for g in grid], accuracy).alias("grid"))
+    large = F.col("total") >= 4 * accuracy
     brackets = F.array(*[
-        F.struct(F.lit(float(p)).alias("p"), F.get("grid", F.lit(i)).alias("lo"), F.get("grid", F.lit(k + i)).alias("hi"))
+        F.struct(F.lit(float(p)).alias("p"), F.when(large, F.get("grid", F.lit(i))).otherwise(-math.inf).alias("lo"),
+                 F.when(large, F.get("grid", F.lit(len(probs) + i))).otherwise(F.col("top")).alias("hi"))
         for i, p in enumerate(probs)])
-    joined = join_totals(counts, sketch, keys).select(*[q(x) for x in keys], "v", "n", "total", F.explode(brackets).alias("b"))
-    per = [q(x) for x in keys] + [F.col("b.p").alias("p"), F.col("total")]
-    below = joined.groupBy(*per).agg(F.sum(F.when(F.col("v") < F.col("b.lo"), F.col("n")).otherwise(0)).alias("below"))
-    inside = joined.filter((F.col("v") >= F.col("b.lo")) & (F.col("v") <= F.col("b.hi"))).select(*per, "v", "n")
-    w = Window.partitionBy(*[q(x) for x in keys], "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("upto", F.sum("n").over(w))
-    placed = join_totals(ranked, below.drop("total"), [*keys, "p"])
+    wanted = sketch.select(*group, "total", brackets.alias("brackets"))
+    rows = salted_totals(value_counts(df, keys, column), wanted, keys, F.col("v"))
+    per = rows.select(*group, "total", "v", "n", F.inline("brackets")).filter(F.col("v") <= F.col("hi"))
+    # Values below the bracket share one row (null), which sorts first and opens the running count.
+    held = per.groupBy(*group, "p", "total", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.sum("n").alias("n"))
+    running = Window.partitionBy(*group, "p").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = held.withColumn("upto", F.sum("n").over(running))
     position = (F.col("total") - 1) * F.col("p")
-    first, last = F.col("below") + F.col("upto") - F.col("n"), F.col("below") + F.col("upto") - 1
+    first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
     at = lambda r: F.max(F.when((r >= first) & (r <= last), F.col("v")))
-    return placed.groupBy(*[q(x) for x in keys], "p", "total").agg(
+    return ranked.groupBy(*group, "p", "total").agg(
         at(F.floor(position)).alias("a"), at(F.ceil(position)).alias("b")
-    ).select(*[q(x) for x in keys], "p",
-             (F.col("a") + (F.col("b") - F.col("a")) * (position - F.floor(position))).alias("value"))
+    ).select(*group, "p", (F.col("a") + (F.col("b") - F.col("a")) * (position - F.floor(position))).alias("value"))
+
+
+def quartiles(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Exact quartiles per group as columns ``q1, median, q3``."""
+    names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
+    return quantiles(df, keys, column, list(names)).groupBy(*[q(k) for k in keys]).agg(
+        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in names.items()])
 
 
 def box_statistics(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Per group: extremes, quartiles, and the whisker ends (outermost values within 1.5 quartile ranges)."""
-    quart = quantiles(df, keys, column, [0.25, 0.5, 0.75]).groupBy(*[q(k) for k in keys]).agg(
-        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    v = F.col("v")
+    rows = salted_totals(value_counts(df, keys, column), quartiles(df, keys, column), keys, v)
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    rows = join_totals(df.filter(q(column).isNotNull()), quart, keys)
-    inside = lambda f: f(F.when((q(column) >= F.col("q1") - reach) & (q(column) <= F.col("q3") + reach), q(column)))
+    inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     return rows.groupBy(*[q(k) for k in keys], "q1", "median", "q3").agg(
-        F.min(q(column)).alias("min"), F.max(q(column)).alias("max"),
-        inside(F.min).alias("lower_fence"), inside(F.max).alias("upper_fence"))
+        F.min(v).alias("min"), F.max(v).alias("max"),
+        F.min(F.when(inside, v)).alias("lower_fence"), F.max(F.when(inside, v)).alias("upper_fence"))
 
 
 def range_counts(df: DataFrame, column: str, edges=REVENUE_EDGES, labels=REVENUE_LABELS) -> DataFrame:
@@ -215,10 +229,8 @@ def density(df: DataFrame, column: str, grid: list[float]) -> DataFrame:
     Every distinct value is evaluated once against the fixed grid inside one aggregation.
     """
     v = q(column).cast("double")
-    stats = df.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"))
-    width = stats.select((F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))).alias("h")).scalar()
-    total = stats.select("n").scalar()
-    counts = df.filter(v.isNotNull()).groupBy(v.alias("v")).agg(n_rows().alias("c")).select("v", "c", width.alias("h"), total.alias("n"))
+    stats = figures(df, n=F.count(v), h=F.stddev_samp(v) * F.pow(F.count(v), F.lit(-0.2)))
+    counts = df.filter(v.isNotNull()).groupBy(v.alias("v")).agg(n_rows().alias("c")).select("v", "c", stats.alias("s")).select("v", "c", "s.*")
     sums = [F.sum(F.col("c") * F.exp(-F.pow((F.lit(float(x)) - F.col("v")) / F.col("h"), F.lit(2.0)) / 2)
                   / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias(f"g{i}") for i, x in enumerate(grid)]
     cells = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.col(f"g{i}").alias("density")) for i, x in enumerate(grid)])

@@ -45,10 +45,13 @@ def latest_judgements(combined: DataFrame, tiebreak: str = "Reg Code") -> DataFr
 def archived_only(archived: DataFrame, current: DataFrame, date: str = "Publication Date",
                   tiebreak: str = "Reg Code") -> DataFrame:
     """Newest archived judgement of providers absent from the current list; an undated one counts as newest.
-    Rows without provider are dropped."""
-    rest = archived.filter(F.col("Provider_lower").isNotNull()).join(
-        current.select("Provider_lower"), "Provider_lower", "left_anti")
-    return latest_per_key(rest, "Provider_lower", date, [q(tiebreak)], nulls="first")
+
+    Rows without provider are dropped. The newest row is picked before the anti join, so a provider
+    with very many judgements is reduced to one row in the map tasks.
+    """
+    known = archived.filter(F.col("Provider_lower").isNotNull())
+    newest = latest_per_key(known, "Provider_lower", date, [q(tiebreak)], nulls="first")
+    return newest.join(current.select("Provider_lower").distinct(), "Provider_lower", "left_anti")
 
 
 def prepare_judgements(df: DataFrame, schema: T.StructType = JUDGEMENT_SCHEMA) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.keys import strip
 from ..functions.paths import file_name
 from ..functions.text import terms
+from .joins import figures
 from .ranking import sorted_pages, top_per_key
 from .schema import q
 
@@ -22,6 +23,9 @@ VECTOR_HITS, TEXT_HITS = 20, 5
 ANSWER_HITS, ANSWER_CHARS = 3, 1000
 SUMMARY_HITS, SUMMARY_CHARS = 2, 200
 CHAT_TURNS = 10
+NO_PAGE = "N/A"
+SOURCE_LINE, ANSWER_SOURCE, SUMMARY_SOURCE = "**Sources:** ", "Source ", "From "
+QUESTION_LINE, ANSWER_LINE, CHARTS_LINE = "Previous Question: ", "Previous Answer: ", "Previous Charts: "
 # Usual parameters of the BM25 ranking function and of reciprocal rank fusion.
 BM25_K1, BM25_B = 1.2, 0.75
 RRF_K = 60
@@ -59,7 +63,7 @@ def query_terms(text: str) -> list[str]:
 
 
 def occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def keyword_hits(df: DataFrame, key: str, text: str, queries: dict[str, str], k: int = TEXT_HITS) -> DataFrame:
@@ -69,14 +73,17 @@ def keyword_hits(df: DataFrame, key: str, text: str, queries: dict[str, str], k:
     Document frequencies and the mean length come from one aggregation, read as scalar subqueries.
     """
     wanted = list(dict.fromkeys(t for s in queries.values() for t in query_terms(s)))
-    counted = df.select(q(key), terms(q(text)).alias("__t")).select(
-        q(key), F.size("__t").alias("len"),
-        *[occurrences("__t", t).alias(f"tf{i}") for i, t in enumerate(wanted)])
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"),
-        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
-    packed = stats.select(F.struct(*stats.columns).alias("s")).scalar()
-    rows = counted.filter(F.greatest(*[F.col(f"tf{i}") for i in range(len(wanted))], F.lit(0)) > 0).withColumn("s", packed)
+    def count_terms(rows: DataFrame) -> DataFrame:
+        return rows.select(q(key), terms(q(text)).alias("__t")).select(
+            q(key), F.size("__t").alias("len"),
+            *[occurrences("__t", t).alias(f"tf{i}") for i, t in enumerate(wanted)])
+
+    counted = count_terms(df)
+    # A plain search for any query term spares splitting texts that cannot score.
+    likely = count_terms(df.filter(F.lower(q(text)).rlike("|".join(wanted))))
+    packed = figures(counted, n=F.count(F.lit(1)), avg_len=F.avg("len"),
+                     **{f"df{i}": F.count_if(F.col(f"tf{i}") > 0) for i in range(len(wanted))})
+    rows = likely.withColumn("s", packed)
 
     def part(i: int) -> Column:
         tf, df_ = F.col(f"tf{i}"), F.col(f"s.df{i}")
@@ -113,7 +120,7 @@ def context_block(hits: DataFrame, group: str = "query", order: str = "position"
     """Per query one text with source, page, content and score of every hit, in rank order."""
     source = F.when(F.coalesce(F.length("location"), F.lit(0)) > 0, file_name(F.col("location"))).otherwise("Unknown")
     text = F.concat(
-        F.lit("Source: "), source, F.lit("\nPage: "), F.coalesce(F.col("page").cast("string"), F.lit("N/A")),
+        F.lit("Source: "), source, F.lit("\nPage: "), F.coalesce(F.col("page").cast("string"), F.lit(NO_PAGE)),
         F.lit("\nContent: "), F.col("content"), F.lit("\nRelevance Score: "), F.col("score").cast("string"), F.lit("\n---"))
     return _joined(hits, group, order, text, "\n\n", "context")
 
@@ -121,20 +128,20 @@ def context_block(hits: DataFrame, group: str = "query", order: str = "position"
 def answer_context(hits: DataFrame, group: str = "query", order: str = "position",
                    n: int = ANSWER_HITS, chars: int = ANSWER_CHARS) -> DataFrame:
     """Numbered sources for an answer: the first hits, shortened."""
-    text = F.concat(F.lit("Source "), q(order).cast("string"), F.lit(" ("), F.col("bank"), F.lit(" - "),
+    text = F.concat(F.lit(ANSWER_SOURCE), q(order).cast("string"), F.lit(" ("), F.col("bank"), F.lit(" - "),
                     F.col("file_name"), F.lit("):\n"), F.left("content", F.lit(chars)))
     return _joined(hits.filter(q(order) <= n), group, order, text, "\n\n", "context")
 
 
 def answer_summary(hits: DataFrame, group: str = "query", order: str = "position") -> DataFrame:
     """Plain summary when no answer could be written: opening words of the first hits."""
-    text = F.concat(F.lit("From "), F.col("bank"), F.lit(": "), F.left("content", F.lit(SUMMARY_CHARS)), F.lit("..."))
+    text = F.concat(F.lit(SUMMARY_SOURCE), F.col("bank"), F.lit(": "), F.left("content", F.lit(SUMMARY_CHARS)), F.lit("..."))
     return _joined(hits.filter(q(order) <= SUMMARY_HITS), group, order, text, "\n\n", "summary")
 
 
 def _page_label(c: Column) -> Column:
     """Page as text: whole numbers without fraction, missing pages as N/A."""
-    return F.coalesce(F.regexp_replace(c.cast("string"), r"\.0$", ""), F.lit("N/A"))
+    return F.coalesce(F.regexp_replace(c.cast("string"), r"\.0$", ""), F.lit(NO_PAGE))
 
 
 def citations(refs: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -155,7 +162,7 @@ def citation_line(cited: DataFrame, group: str) -> DataFrame:
     """One source line per query, documents in alphabetical order. ``cited`` comes from the hits of
     a query, so a group is at most as long as its hit list."""
     names = F.array_sort(F.collect_list("citation"))
-    return cited.groupBy(q(group)).agg(F.concat(F.lit("**Sources:** "), F.array_join(names, ", ")).alias("sources"))
+    return cited.groupBy(q(group)).agg(F.concat(F.lit(SOURCE_LINE), F.array_join(names, ", ")).alias("sources"))
 
 
 def citation_list(refs: DataFrame) -> DataFrame:
@@ -192,7 +199,7 @@ def chat_context(turns: DataFrame, group: str = "conv_id", order: str = "turn",
     pair = lambda x: F.get(F.col("m"), x["i"] + 1)
     good = F.filter(numbered, lambda x: (x["i"] % 2 == 0) & (x["r"] == "user")
                     & F.coalesce(pair(x)["r"] == "assistant", F.lit(False)))
-    text_of = lambda x: F.concat(F.lit("Previous Question: "), x["t"], F.lit("\n\nPrevious Answer: "), pair(x)["t"])
+    text_of = lambda x: F.concat(F.lit(QUESTION_LINE), x["t"], F.lit("\n\n" + ANSWER_LINE), pair(x)["t"])
     return rows.select(q(group), F.array_join(F.transform(good, text_of), "\n\n").alias("context"))
 
 
@@ -205,9 +212,9 @@ def chart_summary(charts: Column) -> Column:
 
 def reply_history(c: Column, payload: Column, with_charts: bool = False) -> Column:
     """History text of an assistant turn: its JSON answer if it has one, else the turn itself."""
-    answer = F.concat(F.lit("Previous Answer: "), F.coalesce(payload["answer"], strip(c)))
+    answer = F.concat(F.lit(ANSWER_LINE), F.coalesce(payload["answer"], strip(c)))
     if not with_charts:
         return answer
     charts = payload["chart_data"]
     return F.when(F.coalesce(F.size(charts), F.lit(0)) > 0,
-                  F.concat(answer, F.lit("\n\nPrevious Charts: "), chart_summary(charts))).otherwise(answer)
+                  F.concat(answer, F.lit("\n\n" + CHARTS_LINE), chart_summary(charts))).otherwise(answer)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import join_totals
-from .measures import quantiles
+from .joins import figures, join_totals
+from .measures import quartiles
 from .schema import q
 
 
@@ -51,13 +51,13 @@ def fill_with_mean(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(q(column), mean))
 
 
-def _scaled(df: DataFrame, column: str, by: list[str], out: str, figures: dict[str, Column], formula) -> DataFrame:
+def _scaled(df: DataFrame, column: str, by: list[str], out: str, stats_of: dict[str, Column], formula) -> DataFrame:
     if by:
-        stats = df.groupBy(*[q(b) for b in by]).agg(*[c.alias(n) for n, c in figures.items()])
+        stats = df.groupBy(*[q(b) for b in by]).agg(*[c.alias(n) for n, c in stats_of.items()])
         wide = join_totals(df, stats, by)
     else:
-        wide = df.withColumns({n: df.agg(c.alias(n)).scalar() for n, c in figures.items()})
-    return wide.withColumn(out, formula(q(column), *[F.col(n) for n in figures])).drop(*figures)
+        wide = df.withColumn("__f", figures(df, **stats_of)).select("*", "__f.*").drop("__f")
+    return wide.withColumn(out, formula(q(column), *[F.col(n) for n in stats_of])).drop(*stats_of)
 
 
 def min_max(df: DataFrame, column: str, by: list[str] | None = None, out: str = "scaled") -> DataFrame:
@@ -78,9 +78,7 @@ def summarise(df: DataFrame, by: list[str], column: str) -> DataFrame:
     c = q(column)
     base = df.groupBy(*[q(b) for b in by]).agg(
         F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"), F.max(c).alias("max"))
-    quart = quantiles(df, by, column, [0.25, 0.5, 0.75]).groupBy(*[q(b) for b in by]).agg(
-        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
-    return join_totals(base, quart, by)
+    return join_totals(base, quartiles(df, by, column), by)
 
 
 def compute(df: DataFrame, formulas: dict[str, str]) -> DataFrame:

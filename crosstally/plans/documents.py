@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import guard, payload, text
 from ..functions.dates import file_stamp, reporting_calendar, version_tag
 from ..operators import documents as docs, filters, retrieval as ret
-from ..registry import query, table
+from ..registry import query, table, texts
 from .inputs import RECORDS, records, sql_strip, sql_terms, sql_with, sql_words
 
 KEYWORD_QUERIES = {"q1": "onen reon oner", "q2": "elle eau", "q3": "here hand annd the"}
@@ -17,7 +17,7 @@ PROBES = {f"v{k}": [round(math.sin(k + i * 0.37), 4) for i in range(64)] for k i
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents")
+    return texts(spark, sf, "documents", "doc_id")
 
 
 # --- chunking and merging -----------------------------------------------------------------------

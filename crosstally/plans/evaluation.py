@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import filters, measures, schema, scoring
-from ..registry import query, table
+from ..registry import query, table, texts
 from .inputs import RECORDS, records, sql_strip, sql_terms, sql_with, sql_words
 
 IDS = ["conv_id", "turn"]
@@ -90,7 +90,7 @@ def scl2(spark, sf):
 
 @query("scl1_word_counts", f"SELECT doc_id, len({sql_words('text')})::BIGINT AS words FROM documents")
 def scl1(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(text.word_set(F.col("text"))).cast("bigint").alias("words"))
+    return texts(spark, sf, "documents", "doc_id").select("doc_id", F.size(text.word_set(F.col("text"))).cast("bigint").alias("words"))
 
 
 @query("scl3_simple_score", SCORED + """, sh AS (SELECT conv_id, turn, len(w_answer) AS n, len(w_context) AS nc, len(w_truth) AS nt,
@@ -105,7 +105,7 @@ def scl3(spark, sf):
 
 @query("scl7_extract_score", r"""SELECT doc_id, coalesce(greatest(least(regexp_extract_all(text, '([0-9]+\.[0-9]+|[0-9]+)', 1)[-1]::DOUBLE, 1.0), 0.0), 0.5) AS score FROM documents""")
 def scl7(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.extract_score(F.col("text")).alias("score"))
+    return texts(spark, sf, "documents", "doc_id").select("doc_id", text.extract_score(F.col("text")).alias("score"))
 
 
 @query("scl8_score_band", RESULTS + "SELECT conv_id, turn, CASE WHEN faithfulness < 0.33 THEN 'red' WHEN faithfulness < 0.67 THEN 'yellow' ELSE 'green' END AS band FROM results")
@@ -115,7 +115,7 @@ def scl8(spark, sf):
 
 @query("scl9_shorten", "SELECT doc_id, CASE WHEN length(text) > 4000 THEN text[1:4000] || '...' ELSE text END AS text FROM documents")
 def scl9(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.shorten(F.col("text")).alias("text"))
+    return texts(spark, sf, "documents", "doc_id").select("doc_id", text.shorten(F.col("text")).alias("text"))
 
 
 @query("flt9_minimum_scores", RESULTS + "SELECT conv_id, turn FROM results WHERE faithfulness >= 0.1 AND answer_relevancy >= 0.05 AND answer_correctness >= 0.02")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry import table
+from ..sources.readers import spread
 
 BLANK = r"[\s\p{Z}]"
 
@@ -238,7 +239,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     """
     c, d, b = (table(spark, sf, t) for t in ("conversations", "documents", "benchmark"))
     n = b.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ask = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    ask = spread(c, "conv_id", "turn").filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     say = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     pairs = ask.join(say, ["conv_id", "turn"]).withColumn("item_id", F.col("conv_id") % n)
     return (

@@ -8,6 +8,7 @@ from ..functions import keys
 from ..functions.numbers import number_from_thousands, threshold_flag, to_number
 from ..operators import filters, measures, ranking, reconcile, schema
 from ..registry import query, table
+from ..sources import sinks
 from .inputs import (COUNTERPARTIES, MATCHED_COLUMNS, SCORES, WATCH_LIST, counterparties, scores, sql_key, sql_matched,
                      sql_strip, sql_with, watch_list)
 
@@ -334,7 +335,8 @@ SELECT pure_play_flag, round(q1, 4) AS q1, round(median, 4) AS median, round(q3,
   max("greenRevenuePercent") FILTER ("greenRevenuePercent" >= q1 - 1.5 * (q3 - q1) AND "greenRevenuePercent" <= q3 + 1.5 * (q3 - q1)) AS upper_fence
 FROM matched JOIN quart ON pure_play_flag = f WHERE "greenRevenuePercent" IS NOT NULL GROUP BY pure_play_flag, q1, median, q3""")
 def agg16(spark, sf):
-    b = measures.box_statistics(matched(spark, sf), ["pure_play_flag"], "greenRevenuePercent")
+    rows = sinks.materialise(matched(spark, sf).select("pure_play_flag", "greenRevenuePercent"), "matched")
+    b = measures.box_statistics(rows, ["pure_play_flag"], "greenRevenuePercent")
     return b.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
 
@@ -349,7 +351,8 @@ def agg17(spark, sf):
 SELECT x::DOUBLE AS x, round((SELECT sum(exp(-pow((x - "greenRevenuePercent") / h, 2) / 2) / (n * h * sqrt(2 * pi()))) FROM matched, s), 8) AS density
 FROM (SELECT unnest(range(0, 101, 5)) AS x)""")
 def agg18(spark, sf):
-    return measures.density(matched(spark, sf), "greenRevenuePercent", [float(x) for x in range(0, 101, 5)]).withColumn(
+    rows = sinks.materialise(matched(spark, sf).select("greenRevenuePercent"), "matched")
+    return measures.density(rows, "greenRevenuePercent", [float(x) for x in range(0, 101, 5)]).withColumn(
         "density", F.round("density", 8))
 
 

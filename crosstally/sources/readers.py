@@ -13,6 +13,15 @@ from ..operators.schema import clean_header, require_columns, trim_all
 SAMPLE_ROWS = 1000
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows spread over all cores if the input comes in fewer pieces than there are cores.
+
+    For costly work per row on small inputs. A large input has more splits than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str | None = None,
              encoding: str = "UTF-8", tolerant: bool = False, where: Column | None = None) -> DataFrame:
     """Headered delimited text. Without schema the columns are inferred (one more pass over the file).

@@ -11,14 +11,24 @@ from ..operators.schema import q
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables: below the cluster's shared checkpoint folder if the
-    session names one, else (single machine, tests) below the temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A fresh folder for intermediate tables, below the shared folder the session names in
+    ``spark.checkpoint.dir``. Only a local session without that setting gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="crosstally-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several passes will read, and go on from the written table. Lost executors
+    then cost a re-read, not a new computation."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').csv(path)
 

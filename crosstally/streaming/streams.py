@@ -7,7 +7,7 @@ that a stream holds back what its watermark has not closed. Rows later than the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.paths import file_name, path_components_by_position
 
@@ -84,9 +84,25 @@ def latest_status(log: DataFrame, keys: list[str], status: str, ts: str = "ts",
 
 
 def sessions(events: DataFrame, user: str, ts: str = "ts", gap: int = SESSION_GAP, lateness: str = LATENESS) -> DataFrame:
-    """Activity sessions ended by ``gap`` seconds of silence."""
-    return _timed(events, ts, lateness).groupBy(F.session_window(ts, f"{gap} seconds").alias("session"), user).agg(
-        F.count(F.lit(1)).alias("events"))
+    """Activity sessions ended by ``gap`` seconds of silence: ``session`` (start, end), user, events.
+
+    Events of a user within one slot of ``gap`` seconds belong together, so a batch is first counted
+    per user and slot in the map tasks; what is ordered per user is then as long as the calendar.
+    """
+    if events.isStreaming:
+        return _timed(events, ts, lateness).groupBy(F.session_window(ts, f"{gap} seconds").alias("session"), user).agg(
+            F.count(F.lit(1)).alias("events"))
+    at = F.col(ts).cast("timestamp")
+    slots = events.filter(at.isNotNull()).groupBy(user, F.floor(F.unix_micros(at) / (gap * 1_000_000)).alias("slot")).agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    pause = F.expr(f"interval {gap} seconds")
+    by_time = Window.partitionBy(user).orderBy("slot")
+    fresh = F.coalesce(F.col("first") >= F.lag("last").over(by_time) + pause, F.lit(True))
+    numbered = slots.withColumn("fresh", fresh.cast("int")).withColumn(
+        "no", F.sum("fresh").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(user, "no").agg(
+        F.struct(F.min("first").alias("start"), (F.max("last") + pause).alias("end")).alias("session"), F.sum("n").alias("events")
+    ).select("session", user, "events")
 
 
 def without_repeats(stream: DataFrame, keys: list[str], ts: str = "ts", keep_for: str = LATENESS) -> DataFrame:
