@@ -48,4 +48,5 @@ def safe_ratio(a: Column, b: Column) -> Column:
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
+    """Limit to 0..1; missing stays missing (``least`` and ``greatest`` would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,7 +11,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.paths import file_extension, file_name, path_components
-from ..functions.text import terms
 from .ranking import top_per_key
 from .schema import q
 
@@ -29,43 +29,69 @@ def catalogue_type(data_type: T.DataType) -> str:
     return "float" if isinstance(data_type, _FRACTIONAL) else "string"
 
 
-def _smallest_per_file(k: int):
-    """Arrow task: the k smallest distinct texts of every column, per file, within one partition."""
-    schema = pa.schema([("file", pa.string()), ("column", pa.string()), ("value", pa.string())])
+# How a column of each catalogue type travels through the sampling task.
+_CARRIER = {"int": "bigint", "float": "double", "string": "string"}
+
+
+_FOUND = "file string, column string, data_type string, i bigint, f double, s string"
+
+
+def _smallest_per_file(k: int, kinds: dict[str, str]):
+    """Arrow task: the k smallest distinct values of every column, per file, within one partition."""
+    slots = {"int": "i", "float": "f", "string": "s"}
+    schema = pa.schema([("file", pa.string()), ("column", pa.string()), ("data_type", pa.string()),
+                        ("i", pa.int64()), ("f", pa.float64()), ("s", pa.string())])
+
+    def smallest(values: pa.Array) -> pa.Array:
+        values = pc.unique(values).drop_null()
+        return values.take(pc.array_sort_indices(values)[:k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[str, str], pa.Array] = {}
         for batch in batches:
             files = pc.unique(batch.column(0))
-            for file in files:
+            for file in files.to_pylist():
                 part = batch if len(files) == 1 else batch.filter(pc.equal(batch.column(0), file))
                 for i, name in enumerate(batch.schema.names[1:], 1):
-                    fresh = pc.unique(part.column(i)).drop_null()
-                    old = kept.get((file.as_py(), name))
-                    pool = fresh if old is None else pc.unique(pa.concat_arrays([old, fresh]))
-                    kept[file.as_py(), name] = pool.take(pc.array_sort_indices(pool)[:k])
-        rows = [(f, c, v) for (f, c), values in kept.items() for v in values.to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], pa.string()) for i in range(3)], schema=schema)
+                    values, old = part.column(i), kept.get((file, name))
+                    if old is not None:
+                        if len(old) == k:  # only a value below the k-th can change the sample
+                            values = values.filter(pc.less(values, old[k - 1]))
+                        if not len(values):
+                            continue
+                        values = pa.concat_arrays([old, values])
+                    kept[file, name] = smallest(values)
+        for (file, name), values in kept.items():
+            n, slot = len(values), slots[kinds[name]]
+            columns = [pa.array([x] * n, pa.string()) for x in (file, name, kinds[name])]
+            columns += [values if slot == c else pa.nulls(n, schema.field(c).type) for c in ("i", "f", "s")]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
+def _found(df: DataFrame, file: Column) -> DataFrame:
+    kinds = {f.name: catalogue_type(f.dataType) for f in df.schema}
+    cells = df.select(file.alias("__file"), *[q(c).cast(_CARRIER[kind]).alias(c) for c, kind in kinds.items()])
+    return cells.mapInArrow(_smallest_per_file(TEXT_SAMPLES, kinds), _FOUND)
+
+
+def _profile(found: DataFrame) -> DataFrame:
+    best = top_per_key(found.distinct(), ["file", "column"], [F.col("i"), F.col("f"), F.col("s")], TEXT_SAMPLES, rank="rank")
+    limited = best.filter((F.col("data_type") == "string") | (F.col("rank") <= NUMBER_SAMPLES))
+    value = F.coalesce(F.col("i").cast("string"), F.col("f").cast("string"), F.col("s"))
+    samples = F.array_sort(F.collect_list(F.struct("rank", value.alias("value"))))
+    return limited.groupBy("file", "column", "data_type").agg(
+        F.transform(samples, lambda x: x["value"]).alias("sample_values"))
+
+
 def profile_columns(df: DataFrame, file: Column | None = None) -> DataFrame:
-    """Per file and column: catalogue type and the smallest distinct values, in text order.
+    """Per file and column: catalogue type and the smallest distinct values, in order.
 
     The whole table is read once. Each task reduces its rows to a few values per column before the
     shuffle, so the shuffle does not grow with the rows.
     """
-    kinds = {f.name: catalogue_type(f.dataType) for f in df.schema}
-    cells = df.select((file if file is not None else F.lit("")).alias("__file"),
-                      *[q(c).cast("string").alias(c) for c in kinds])
-    found = cells.mapInArrow(_smallest_per_file(TEXT_SAMPLES), "file string, column string, value string").distinct()
-    best = top_per_key(found, ["file", "column"], [F.col("value")], TEXT_SAMPLES, rank="rank")
-    type_of = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    typed = best.withColumn("data_type", F.element_at(type_of, F.col("column")))
-    limited = typed.filter((F.col("data_type") == "string") | (F.col("rank") <= NUMBER_SAMPLES))
-    return limited.groupBy("file", "column", "data_type").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
+    return _profile(_found(df, F.lit("") if file is None else file))
 
 
 def catalogue_rows(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
@@ -73,20 +99,17 @@ def catalogue_rows(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
 
     A dataset whose files cannot be opened keeps its row with the error text.
     """
-    parts = []
+    found, failed = [], []
     for path, fmt in datasets.items():
         try:
-            df = spark.read.format(fmt).option("header", True).load(path)
-            rows = profile_columns(df).withColumn("error", F.lit(None).cast("string"))
+            found.append(_found(spark.read.format(fmt).option("header", True).load(path), F.lit(path)))
         except PySparkException as e:
-            rows = spark.range(1).select(
-                F.lit("").alias("file"), F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("data_type"),
-                F.lit(None).cast("array<string>").alias("sample_values"), F.lit(str(e).split("\n")[0]).alias("error"))
-        parts.append(rows.withColumn("path", F.lit(path)).drop("file"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return with_path_tags(every, "path").withColumn("file_type", file_extension(F.col("path")))
+            failed.append((path, str(e).split("\n")[0]))
+    errors = spark.createDataFrame(failed, "path string, error string")
+    if found:
+        rows = _profile(reduce(DataFrame.unionByName, found)).withColumnRenamed("file", "path")
+        errors = rows.unionByName(errors, allowMissingColumns=True)
+    return with_path_tags(errors, "path").withColumn("file_type", file_extension(F.col("path")))
 
 
 def with_path_tags(df: DataFrame, path: str, skip: int = 0) -> DataFrame:
@@ -105,12 +128,11 @@ def relevant_files(catalogue: DataFrame, question: str, columns: Column, k: int
     """
     from .retrieval import query_terms
     asked = F.array(*[F.lit(t) for t in query_terms(question)])
-    found_in = lambda words: F.size(F.array_intersect(asked, F.array_distinct(words)))
-    split_names = terms(F.translate(F.array_join(columns, " "), "_", " "))
-    parts = terms(F.translate(F.col("path"), "/_.", "   "))
-    scenario = terms(F.translate(F.coalesce("scenario", F.lit("")), "_", " "))
-    scored = catalogue.withColumn("score", (found_in(split_names) + found_in(parts) + found_in(scenario)).cast("bigint"))
-    return scored.filter(F.col("score") > 0).orderBy(F.desc("score"), "path").limit(k)
+    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
+    found_in = lambda c: F.size(F.array_intersect(asked, words(c)))
+    score = found_in(F.array_join(columns, " ")) + found_in(F.col("path")) + found_in(F.coalesce("scenario", F.lit("")))
+    best = catalogue.withColumn("score", score.cast("bigint")).orderBy(F.desc("score"), "path").limit(k)
+    return best.filter(F.col("score") > 0)
 
 
 def files_by_name(catalogue: DataFrame, wanted: DataFrame) -> DataFrame:

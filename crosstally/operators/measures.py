@@ -150,7 +150,7 @@ def histogram_over_range(df: DataFrame, column: str, bins: int) -> DataFrame:
     limits = figures(df, lo=F.min(q(column)), hi=F.max(q(column)))
     binned = df.filter(q(column).isNotNull()).select(q(column).alias("c"), limits.alias("s")).select("c", "s.*")
     width = (F.col("hi") - F.col("lo")) / bins
-    index = F.coalesce(F.least(F.floor(F.try_divide(F.col("c") - F.col("lo"), width)), F.lit(bins - 1)), F.lit(0))
+    index = F.least(F.coalesce(F.floor(F.try_divide(F.col("c") - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1))
     return binned.groupBy(index.cast("bigint").alias("bin"), "lo", "hi").agg(n_rows().alias("rows")).select(
         "bin", (F.col("lo") + F.col("bin") * width).alias("bin_from"), "rows")
 

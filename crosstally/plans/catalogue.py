@@ -31,8 +31,8 @@ def _profile_sql() -> str:
         for spec in columns.split():
             c, kind = spec.split(":")
             k = 10 if kind == "string" else 5
-            parts.append(f"SELECT '{t}.parquet' AS file_name, '{c}' AS \"column\", '{kind}' AS data_type, (SELECT string_agg(v, '|' ORDER BY v) FROM "
-                         f"(SELECT DISTINCT {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT {k})) AS samples")
+            parts.append(f"SELECT '{t}.parquet' AS file_name, '{c}' AS \"column\", '{kind}' AS data_type, (SELECT string_agg(v::VARCHAR, '|' ORDER BY v) FROM "
+                         f"(SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT {k})) AS samples")
     return "\nUNION ALL ".join(parts)
 
 

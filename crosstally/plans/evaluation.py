@@ -103,7 +103,8 @@ def scl3(spark, sf):
     return records(spark, sf).select(*IDS, F.round(score, 9).alias("score"))
 
 
-@query("scl7_extract_score", r"""SELECT doc_id, coalesce(greatest(least(regexp_extract_all(text, '([0-9]+\.[0-9]+|[0-9]+)', 1)[-1]::DOUBLE, 1.0), 0.0), 0.5) AS score FROM documents""")
+@query("scl7_extract_score", r"""WITH n AS (SELECT doc_id, regexp_extract_all(text, '([0-9]+\.[0-9]+|[0-9]+)', 1)[-1]::DOUBLE AS last FROM documents)
+SELECT doc_id, CASE WHEN last IS NULL THEN 0.5 ELSE greatest(least(last, 1.0), 0.0) END AS score FROM n""")
 def scl7(spark, sf):
     return texts(spark, sf, "documents", "doc_id").select("doc_id", text.extract_score(F.col("text")).alias("score"))
 

@@ -81,7 +81,7 @@ def stm4_stream(spark, sf):
     return spark.read.parquet(f"{out}/v0")
 
 
-SESSIONS = """, s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3600 SECONDS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+SESSIONS = """, s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 3600 SECONDS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM s),
 sessions AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 3600 SECONDS AS session_end, count(*) AS events FROM n GROUP BY user_id, no)"""
 

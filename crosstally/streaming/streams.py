@@ -84,7 +84,7 @@ def latest_status(log: DataFrame, keys: list[str], status: str, ts: str = "ts",
 
 
 def sessions(events: DataFrame, user: str, ts: str = "ts", gap: int = SESSION_GAP, lateness: str = LATENESS) -> DataFrame:
-    """Activity sessions ended by ``gap`` seconds of silence: ``session`` (start, end), user, events.
+    """Activity sessions ended by more than ``gap`` seconds of silence: ``session`` (start, end), user, events.
 
     Events of a user within one slot of ``gap`` seconds belong together, so a batch is first counted
     per user and slot in the map tasks; what is ordered per user is then as long as the calendar.
@@ -97,7 +97,7 @@ def sessions(events: DataFrame, user: str, ts: str = "ts", gap: int = SESSION_GA
         F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
     pause = F.expr(f"interval {gap} seconds")
     by_time = Window.partitionBy(user).orderBy("slot")
-    fresh = F.coalesce(F.col("first") >= F.lag("last").over(by_time) + pause, F.lit(True))
+    fresh = F.coalesce(F.col("first") > F.lag("last").over(by_time) + pause, F.lit(True))
     numbered = slots.withColumn("fresh", fresh.cast("int")).withColumn(
         "no", F.sum("fresh").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(user, "no").agg(
