@@ -86,6 +86,16 @@ def describe_codes(df: DataFrame, mappings: dict[str, tuple[DataFrame, bool]]) -
     return df
 
 
+def describe_fields(df: DataFrame, key: str, fields: str, dictionary: DataFrame) -> DataFrame:
+    """Per row (unique ``key``) the known entries of a list of field names as (field, description)
+    structs in list order. ``dictionary``: field, description, one row per field."""
+    each = df.select(q(key), F.posexplode(q(fields)).alias("position", "field"))
+    found = each.join(dictionary.select("field", "description"), "field")
+    listed = F.array_sort(F.collect_list(F.struct("position", "field", "description")))
+    return found.groupBy(q(key)).agg(
+        F.transform(listed, lambda x: F.struct(x["field"].alias("field"), x["description"].alias("description"))).alias("described"))
+
+
 def drop_blank(df: DataFrame, column: str) -> DataFrame:
     return df.filter(q(column).isNotNull() & (q(column) != ""))
 

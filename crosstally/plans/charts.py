@@ -144,6 +144,18 @@ def prj16(spark, sf):
     return schema.describe_codes(s, {"level_2": (n, True), "level_3": (n, False)})
 
 
+@query("jon14_described_fields", """SELECT o_orderkey, 'c_' || c_name || ', c_' || c_name || '+' AS described FROM orders JOIN customer ON o_custkey = c_custkey""")
+def jon14(spark, sf):
+    """Each order lists two fields named by its customer and one unknown field."""
+    name = F.col("o_custkey").cast("string")
+    o = table(spark, sf, "orders").select("o_orderkey", F.array(name, F.lit("none"), F.concat(name, F.lit("+"))).alias("fields"))
+    c = table(spark, sf, "customer")
+    d = c.select(F.col("c_custkey").cast("string").alias("field"), F.concat(F.lit("c_"), "c_name").alias("description"))
+    d = d.union(c.select(F.concat(F.col("c_custkey").cast("string"), F.lit("+")), F.concat(F.lit("c_"), "c_name", F.lit("+"))))
+    found = schema.describe_fields(o, "o_orderkey", "fields", d)
+    return found.select("o_orderkey", F.array_join(F.transform("described", lambda x: x["description"]), ", ").alias("described"))
+
+
 @query("spc1_crosstab", """SELECT c_mktsegment, count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) FILTER (o_orderstatus = 'O') AS "O",
 count(*) FILTER (o_orderstatus = 'P') AS "P" FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def spc1(spark, sf):

@@ -183,12 +183,12 @@ def ret5(spark, sf):
 CHUNK_REFS = sql_chunks(1000, 200)
 
 
-@query("ret5_srt4_citations", sql_with(CHUNK_REFS) + """, p AS (SELECT DISTINCT 'doc_' || (doc_id % 200) || '.txt' AS doc, CASE WHEN chunk_no % 9 = 8 THEN 'N/A' ELSE (chunk_no + 1)::VARCHAR END AS page FROM chunks)
+@query("ret5_srt4_citations", sql_with(CHUNK_REFS) + """, p AS (SELECT DISTINCT 'doc_' || doc_id || '.txt' AS doc, CASE WHEN chunk_no % 9 = 8 THEN 'N/A' ELSE (chunk_no + 1)::VARCHAR END AS page FROM chunks)
 SELECT doc, pages, doc || ' (Page ' || pages || ')' AS citation FROM (
   SELECT doc, string_agg(page, ', ' ORDER BY try_cast(page AS BIGINT) NULLS LAST, page) AS pages FROM p GROUP BY 1)""")
 def ret5_pages(spark, sf):
     c = docs.chunks(documents(spark, sf).select("doc_id", "text"), "text")
-    refs = c.select(F.concat(F.lit("s3/docs/doc_"), (F.col("doc_id") % 200).cast("string"), F.lit(".txt")).alias("location"),
+    refs = c.select(F.concat(F.lit("docs/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("location"),
                     F.when(F.col("chunk_no") % 9 != 8, (F.col("chunk_no") + 1).cast("double")).alias("page"))
     return ret.citations(refs)
 

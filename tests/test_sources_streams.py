@@ -171,7 +171,7 @@ def test_sustained_alarms(spark, tmp_path):
 
 
 def test_sessions(spark, tmp_path):
-    data = [(0, "u", 1.0), (3599, "u", 1.0), (7198, "u", 1.0), (7198 + 3600, "u", 1.0), (50, "w", 1.0)]
+    data = [(0, "u", 1.0), (3599, "u", 1.0), (7198, "u", 1.0), (7198 + 3601, "u", 1.0), (50, "w", 1.0), (3650, "w", 1.0)]
     d, path = events(spark, data), str(tmp_path / "in")
     tidy = lambda x: rows(x.select("metric", F.col("session.start").cast("timestamp_ntz"), F.col("session.end").cast("timestamp_ntz"), "events"))
     batch = tidy(streams.sessions(d, "metric"))
