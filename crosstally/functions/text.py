@@ -11,6 +11,7 @@ from .numbers import clamp01
 
 # Word pattern of the TF-IDF tokens (two or more word characters),
 # band limits of a score, length at which a context is cut.
+TERM_CHARACTER = r"[\p{L}\p{N}_]"
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 BAND_LIMITS = (0.33, 0.67)
 CONTEXT_LIMIT = 4000

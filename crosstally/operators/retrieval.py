@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import strip
 from ..functions.paths import file_name
-from ..functions.text import terms
+from ..functions.text import TERM_CHARACTER, TERM_PATTERN
 from .joins import figures
 from .ranking import sorted_pages, top_per_key
 from .schema import q
@@ -62,28 +62,25 @@ def query_terms(text: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def occurrences(words: str, term: str) -> Column:
-    return F.size(words) - F.size(F.array_remove(words, term))
-
-
 def keyword_hits(df: DataFrame, key: str, text: str, queries: dict[str, str], k: int = TEXT_HITS) -> DataFrame:
     """Best ``k`` rows per query text by BM25: ``query, key, score, position``.
 
-    Only the query's own terms are counted, inside each row, so no term table is built or shuffled.
-    Document frequencies and the mean length come from one aggregation, read as scalar subqueries.
+    Only the query's own terms are taken from each row, so no term table is built or shuffled.
+    Document frequencies and the mean length come from one aggregation, read as a scalar subquery.
     """
     wanted = list(dict.fromkeys(t for s in queries.values() for t in query_terms(s)))
-    def count_terms(rows: DataFrame) -> DataFrame:
-        return rows.select(q(key), terms(q(text)).alias("__t")).select(
-            q(key), F.size("__t").alias("len"),
-            *[occurrences("__t", t).alias(f"tf{i}") for i, t in enumerate(wanted)])
-
-    counted = count_terms(df)
-    # A plain search for any query term spares splitting texts that cannot score.
-    likely = count_terms(df.filter(F.lower(q(text)).rlike("|".join(wanted))))
-    packed = figures(counted, n=F.count(F.lit(1)), avg_len=F.avg("len"),
-                     **{f"df{i}": F.count_if(F.col(f"tf{i}") > 0) for i in range(len(wanted))})
-    rows = likely.withColumn("s", packed)
+    lowered = F.lower(F.coalesce(q(text), F.lit("")))
+    any_term = "|".join(map(re.escape, wanted))
+    whole_term = f"(?<!{TERM_CHARACTER})({any_term})(?!{TERM_CHARACTER})"
+    found = F.regexp_extract_all(lowered, F.lit(whole_term), F.lit(1)).alias("found")
+    length = F.regexp_count(lowered, F.lit(TERM_PATTERN)).alias("len")
+    stats = figures(
+        df.select(length, found), n=F.count(F.lit(1)), avg_len=F.avg("len"),
+        **{f"df{i}": F.count_if(F.array_contains("found", t)) for i, t in enumerate(wanted)})
+    # A plain search for any query term spares taking apart texts that cannot score.
+    likely = df.filter(lowered.rlike(any_term)).select(q(key), length, found)
+    rows = likely.select(q(key), "len", stats.alias("s"), *[
+        (F.size("found") - F.size(F.array_remove("found", t))).alias(f"tf{i}") for i, t in enumerate(wanted)])
 
     def part(i: int) -> Column:
         tf, df_ = F.col(f"tf{i}"), F.col(f"s.df{i}")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
-from ..functions.paths import file_name, path_components_by_position, path_components_by_prefix
+from ..functions.paths import file_extension, file_name, path_components_by_position, path_components_by_prefix
 from ..operators import catalogue as cat, filters
 from ..registry import query, table
 from ..sources import readers, sinks
@@ -55,7 +56,6 @@ def src10(spark, sf):
 @query("scl13_scl14_path_tags", sql_with(FILE_PATHS) + """SELECT o_orderkey, cycle AS level_1, scn AS level_2, run_id AS level_3, version AS level_4, version, run_id,
 'output' AS stage, scenario, cycle, file_name, 'csv' AS file_type FROM paths""")
 def scl13(spark, sf):
-    from ..functions.paths import file_extension
     tagged = cat.with_path_tags(file_paths(spark, sf), "path", 2).withColumn("file_type", file_extension(F.col("path")))
     return tagged.drop("path", "o_orderdate", "o_totalprice")
 
@@ -181,6 +181,24 @@ def src6(spark, sf):
     return table(spark, sf, "part").select("p_partkey", "p_brand")
 
 
+PREAMBLE = ["Published list", "as of today", "c_custkey;c_name;c_mktsegment"]
+
+
+def _with_preamble(batches):
+    """Arrow task: two lines of preamble and the header before the lines of every partition (one file each)."""
+    yield pa.RecordBatch.from_arrays([pa.array(PREAMBLE, pa.string())], names=["value"])
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+
+@query("src7_header_after_preamble", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer")
+def src7(spark, sf):
+    out = sinks.scratch(spark, "published.csv")
+    lines = customers(spark, sf).select(F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("value"))
+    lines.mapInArrow(_with_preamble, "value string").write.text(out)
+    return readers.read_after_preamble(spark, out, 2, sep=";")
+
+
 @query("src8_latin1_trimmed", "SELECT c_custkey::VARCHAR AS id, 'Société ' || c_name AS name FROM customer")
 def src8(spark, sf):
     out = sinks.scratch(spark, "latin.csv")

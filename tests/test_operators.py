@@ -205,6 +205,19 @@ def test_fallback_scores_against_brute_force(spark):
     assert four[1]["context_recall"] == max(0.5, jac(data[0][4], data[0][3]))
 
 
+def test_mean_of_failed_rows(spark):
+    d = spark.createDataFrame([(1.0, 0.5, False), (1.0, 0.5, True)], "a double, b double, bad boolean")
+    got = d.select(scoring.mean_of([F.col("a"), F.col("b")], F.col("bad")).alias("m")).collect()
+    assert [r["m"] for r in got] == [0.75, 0.0]
+
+
+def test_described_fields(spark):
+    d = spark.createDataFrame([(1, ["b", "x", "a"]), (2, [])], "id int, f array<string>")
+    words = spark.createDataFrame([("a", "A"), ("b", "B")], "field string, description string")
+    got = schema.describe_fields(d, "id", "f", words).collect()
+    assert [(r["id"], [tuple(x) for x in r["described"]]) for r in got] == [(1, [("b", "B"), ("a", "A")])]
+
+
 def test_chunks_cover_the_text(spark):
     texts = ["", "x" * 999, "y" * 1000, "z" * 1001, "".join(chr(97 + i % 26) for i in range(4321))]
     d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
