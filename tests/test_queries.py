@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from crosstally.registry import QUERIES, SQL
 from tools.check import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     ok, note = compare(spark, con, SF, name)
     assert ok or note == "0 rows", note
@@ -24,4 +25,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(SQL) == set(QUERIES)
