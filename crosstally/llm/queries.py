@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry import table
-from . import sharding, simhash, url_filter
+from ..sources.sinks import scratch
+from . import sharding, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +54,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
              url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/")]
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op2_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE strlen(body) >= 100 GROUP BY payload_digest)
+    SELECT p.page_id, strlen(p.body)::BIGINT AS payload_bytes, p.payload_digest,
+           CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+    FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path, payloads=False)
+    return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          warc.page_of(F.col("refers_to_id")).alias("refers_to"))
