@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry import table
 from ..sources.sinks import scratch
-from . import sharding, simhash, url_filter, warc
+from . import langid, sharding, simhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archives(spark, path, payloads=False)
     return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                           warc.page_of(F.col("refers_to_id")).alias("refers_to"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, model).select("doc_id", "held_out", "lang_pred", "score")
