@@ -19,7 +19,8 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+
+from .samples import keys_by_hash, rows_of
 
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
@@ -140,11 +141,11 @@ def code_lengths(texts: list[str | None], model: Model) -> np.ndarray:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = 500) -> Model | None:
     """Learn from at most ``docs_per_language`` whole texts of each language, those with the smallest hash of the
-    key. Rows without text, key or language teach nothing; None if nothing is left."""
+    key (of repeated keys the smallest text). Rows without text, key or language teach nothing; None if nothing
+    is left."""
     labelled = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").alias("lang")).dropna()
-    # The limit is applied in every task before rows are brought together (window group limit).
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "text")
-    return build(count_contexts(labelled.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= docs_per_language)))
+    sample = rows_of(labelled, keys_by_hash(labelled, docs_per_language, within="lang"), "key", "lang")
+    return build(count_contexts(sample.groupBy("key", "lang").agg(F.min("text").alias("text"))))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

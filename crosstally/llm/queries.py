@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry import table
 from ..sources.sinks import materialise, scratch
-from . import bpe, chat, decontam, langid, sharding, simhash, topk, url_filter, warc
+from . import bpe, chat, decontam, langid, quality, sharding, simhash, topk, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,3 +131,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.with_digests(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), usable=~langid.held_out("key"))
+    scored = quality.predict(docs, model).withColumn("held_out", langid.held_out())
+    return scored.select("doc_id", "held_out", "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("keep"))

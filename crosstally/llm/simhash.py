@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.sinks import materialise
 from .components import connected_components
@@ -66,6 +66,11 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     return source.mapInArrow(run, f"{kept}, fp bigint")
 
 
+def digits(fp: str) -> Column:
+    """A fingerprint as 16 lower-case hex digits."""
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
 def _syndrome(words: np.ndarray) -> np.ndarray:
     """Remainder of 23-bit words by the generator."""
     rest = words.copy()
@@ -152,5 +157,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     of_linked = materialise(linked.select("root", "fp").join(least, "root").select("fp", "component_id"), "components")
     alone = fps.join(of_linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     component = materialise(of_linked.unionByName(alone), "component-of-fingerprint")
-    digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return rows.join(component, "fp").select(F.col("__key").alias(key), digits, "component_id")
+    return rows.join(component, "fp").select(F.col("__key").alias(key), digits("fp").alias("fingerprint"), "component_id")
