@@ -80,7 +80,7 @@ def events_of(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn
     body, who = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.col(f"`{role}`").cast("string")
     message = F.concat_ws("|", F.coalesce(who, F.lit("")), F.hex(F.xxhash64(body)), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
     rows = conversations.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), message.alias("message"), who.alias("role"),
-                                F.regexp_extract_all(body, F.lit(f"(?s).{{1,{DELTA}}}"), 0).alias("deltas"))
+                                F.regexp_extract_all(body, F.lit(f"(?s).{{1,{DELTA}}}+"), 0).alias("deltas"))
     events = F.concat(F.array(F.lit("")), "deltas")
     return rows.select(*KEYS, "role", F.posexplode(events).alias("seq", "text")).select(
         *KEYS, "seq", F.when(F.col("seq") == 0, "open").otherwise("delta").alias("kind"), "role", "text")

@@ -15,9 +15,12 @@ def keys_by_hash(keys: DataFrame, limit: int, key: str = "key", within: str | No
     columns = [key, within] if within else [key]
     distinct = keys.select(*columns).dropna().distinct()
     share = F.pmod(F.xxhash64(key), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    group = F.col(within) if within else F.lit(0)
-    counts = distinct.groupBy(group.alias("__group")).agg(F.count("*").alias("__n"))
-    small = distinct.join(counts, group == F.col("__group")).filter(share * F.col("__n") <= 2 * limit + 50)
+    if within:
+        counts = distinct.groupBy(F.col(within).alias("__group")).agg(F.count("*").alias("__n"))
+        counted = distinct.join(counts, F.col(within) == F.col("__group"))
+    else:
+        counted = distinct.withColumns({"__group": F.lit(0), "__n": distinct.agg(F.count("*")).scalar()})
+    small = counted.filter(share * F.col("__n") <= 2 * limit + 50)
     rank = F.row_number().over(Window.partitionBy("__group").orderBy(F.xxhash64(key), key))
     return small.withColumn("__r", rank).filter(F.col("__r") <= limit).select(*columns)
 

@@ -43,7 +43,7 @@ def run(spark, rows):
 
 
 def test_conversations(spark):
-    rows = [(-7, 0, "user", SAID), (-7, 1, "assistant", SAID), (1, 5, "assistant", "é" * 10000), (1, 2, "user", None), (1, 3, None, "x"), (2, 0, "system", ""),
+    rows = [(-7, 0, "user", SAID), (-7, 1, "assistant", SAID), (1, 5, "assistant", "é😀" * 10000), (1, 2, "user", None), (1, 3, None, "x"), (2, 0, "system", ""),
             (None, 0, "user", "n"), (None, 1, "assistant", "m"), (3, None, "user", "first"), (3, 0, "assistant", "####"), (4, 1, "assistant", "same"), (4, 1, "assistant", "same")]
     rows += [(9, i, ["user", "assistant"][i % 2], f"t{i} \\ # <") for i in range(700)]
     assert run(spark, rows) == brute(rows)
