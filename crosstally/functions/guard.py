@@ -14,8 +14,8 @@ SENSITIVE_COMMANDS = ("DELETE", "DROP", "TRUNCATE", "ALTER", "rm -rf", "mkfs")
 
 # One pattern per entity type, in the order in which redaction applies them (the longer,
 # more specific shapes first). The types NAME, LICENSE_PLATE, PASSPORT_NUMBER and DRIVER_ID
-# have no reliable shape and need a model, so they are not covered. Patterns use no look-around,
-# so every regular-expression engine reads them alike.
+# have no reliable shape and need a model, so they are not covered. Patterns use neither look-around
+# nor word boundaries, so every regular-expression engine reads them alike.
 PII_PATTERNS = {
     "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "AWS_ACCESS_KEY": r"(AKIA|ASIA)[A-Z0-9]{16}",
@@ -23,10 +23,22 @@ PII_PATTERNS = {
     "IP_ADDRESS": r"[0-9]{1,3}(\.[0-9]{1,3}){3}",
     "BANK_ACCOUNT_NUMBER": r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){3,7}",
     "CREDIT_DEBIT_NUMBER": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}",
+    "CREDIT_CARD_NUMBER": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}",
     "SSN": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "PHONE": r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{3}\)?[ .-][0-9]{3,4}[ .-][0-9]{4}",
-    "PASSWORD": r"(password|passwd|pwd)[ ]*[:=][ ]*[^ \n]+",
-    "PIN": r"PIN[ ]*[:=]?[ ]*[0-9]{4,6}",
+    "PASSWORD": r"(?i:password|passwd|pwd)[ ]*[:=][ ]*[^ \n]+",
+    "PIN": r"(?i:pin)[ ]*[:=]?[ ]*[0-9]{4,6}",
+}
+
+# Longer shapes that only contain an entity's shape; they are left as they are.
+PII_DECOYS = {
+    "MAC_ADDRESS": r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){6,}",
+    "IP_ADDRESS": r"[0-9]+(?:\.[0-9]+){4,}",
+    "CREDIT_DEBIT_NUMBER": r"[0-9]{4}(?:[ -]?[0-9]{4}){4,}[0-9]*",
+    "CREDIT_CARD_NUMBER": r"[0-9]{4}(?:[ -]?[0-9]{4}){4,}[0-9]*",
+    "SSN": r"[0-9]{4,}-[0-9]{2}-[0-9]{4,}|[0-9]{3}-[0-9]{2}-[0-9]{5,}",
+    "PHONE": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}",
+    "PIN": r"[A-Za-z0-9_](?i:pin)[ ]*[:=]?[ ]*[0-9]{4,}|(?i:pin)[ ]*[:=]?[ ]*[0-9]{7,}",
 }
 
 # A cheap condition every match implies; a text without it is not searched with the full pattern.
@@ -37,15 +49,34 @@ PII_HINTS = {
     "IP_ADDRESS": lambda c: c.rlike(r"[0-9]\.[0-9]"),
     "BANK_ACCOUNT_NUMBER": lambda c: c.rlike("[A-Z][0-9]{2}"),
     "CREDIT_DEBIT_NUMBER": lambda c: c.rlike("[0-9]{4}"),
+    "CREDIT_CARD_NUMBER": lambda c: c.rlike("[0-9]{4}"),
     "SSN": lambda c: c.rlike("[0-9]-[0-9]{2}-[0-9]"),
     "PHONE": lambda c: c.rlike("[ .-][0-9]{3,4}[ .-][0-9]{4}"),
-    "PASSWORD": lambda c: c.contains("passw") | c.contains("pwd"),
-    "PIN": lambda c: c.contains("PIN"),
+    "PASSWORD": lambda c: c.rlike("(?i)passw|pwd"),
+    "PIN": lambda c: c.rlike("(?i)pin"),
 }
 
 
+def steps(entity: str) -> list[tuple[str, str]]:
+    """Replacements (pattern, text with \\1 for the first group) that put ``[TYPE]`` in the place of an entity.
+
+    A decoy is matched along with the entity, so that no part of it is taken, and then gets its own text back.
+    """
+    decoy, label = PII_DECOYS.get(entity), f"[{entity}]"
+    if decoy is None:
+        return [(PII_PATTERNS[entity], label)]
+    return [(f"({decoy})|{PII_PATTERNS[entity]}", r"\1" + label), (f"({decoy})\\[{entity}\\]", r"\1")]
+
+
+def _replaced(t: Column, entity: str) -> Column:
+    for pattern, text in steps(entity):
+        t = F.regexp_replace(t, pattern, text.replace("\\1", "$1"))
+    return t
+
+
 def pii_count(c: Column, entity: str) -> Column:
-    found = F.regexp_count(c, F.lit(PII_PATTERNS[entity])).cast("bigint")
+    label = F.lit(rf"\[{entity}\]")
+    found = (F.regexp_count(_replaced(c, entity), label) - F.regexp_count(c, label)).cast("bigint")
     return F.when(PII_HINTS[entity](c), found).otherwise(F.when(c.isNotNull(), F.lit(0).cast("bigint")))
 
 
@@ -55,7 +86,7 @@ def pii_counts(c: Column, entities=tuple(PII_PATTERNS)) -> dict[str, Column]:
 
 
 def redact(c: Column, entities=tuple(PII_PATTERNS)) -> Column:
-    """Replace every match by ``[TYPE]``, type after type."""
+    """Replace every match by ``[TYPE]``, type after type. Of two names of one shape the first is used."""
     for e in entities:
         # The one-element array names the text so far, so that it is computed once.
         c = F.transform(F.array(c), _replacer(e))[0]
@@ -63,7 +94,7 @@ def redact(c: Column, entities=tuple(PII_PATTERNS)) -> Column:
 
 
 def _replacer(entity: str):
-    return lambda t: F.when(PII_HINTS[entity](t), F.regexp_replace(t, PII_PATTERNS[entity], f"[{entity}]")).otherwise(t)
+    return lambda t: F.when(PII_HINTS[entity](t), _replaced(t, entity)).otherwise(t)
 
 
 def _any_word(words) -> str:

@@ -142,16 +142,15 @@ def files_by_name(catalogue: DataFrame, wanted: DataFrame) -> DataFrame:
     return top_per_key(hits, ["wanted"], [(F.col("path") == F.col("wanted")).desc(), F.col("path")])
 
 
-def topic_texts(dictionary: DataFrame, per_text: int = 200) -> DataFrame:
+def topic_texts(dictionary: DataFrame) -> DataFrame:
     """Texts of a data dictionary (table_name, category, description, position, field): one per table
-    and category, its fields in position order; more than ``per_text`` positions give further parts."""
+    and category, its fields in position order."""
     keys = ["table_name", "category"]
     fields = dictionary.select(*keys, "description", "position", "field").distinct()
-    part = F.floor(F.col("position") / F.lit(per_text)).cast("bigint")
     listed = F.array_sort(F.collect_list(F.struct("position", "field")))
     lines = F.transform("f", lambda x: F.concat(F.lit("- "), x["field"], F.lit("\n")))
-    return fields.groupBy(*keys, part.alias("part")).agg(F.max("description").alias("description"), listed.alias("f")).select(
-        *keys, "part", F.concat(
+    return fields.groupBy(*keys).agg(F.max("description").alias("description"), listed.alias("f")).select(
+        *keys, F.concat(
             F.lit("Topic: "), F.col("category"), F.lit("\nTable: "), F.col("table_name"), F.lit("\nDescription: "),
             F.coalesce("description", F.lit("")), F.lit("\nFields:\n"), F.array_join(lines, "")).alias("content"))
 

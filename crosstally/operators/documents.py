@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.paths import file_extension
 from ..functions.text import terms
+from .joins import attach
 from .ranking import top_per_key
 from .schema import q
 
@@ -15,6 +16,7 @@ from .schema import q
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
 PAGE_SIZE, PAGE_OVERLAP = 2000, 200
 MAX_FILE_MB = 100
+STEPS_PER_BLOCK = 64
 SUPPORTED_FORMATS = {
     "document": [".pdf", ".txt", ".doc", ".docx", ".md"],
     "spreadsheet": [".xlsx", ".csv", ".xls"],
@@ -34,21 +36,33 @@ def chunks(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUN
     """
     step = size - overlap
     last = F.greatest(F.ceil((F.length(q(text)) - size) / F.lit(step)), F.lit(0)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(q(text), i * step + 1, F.lit(size)))
     others = [c for c in df.columns if c != text]
-    return df.select(*[q(c) for c in others], F.posexplode(pieces).alias("chunk_no", "content"))
+    # Cut in two levels, as a substring is found by counting from the start of its text.
+    blocks = F.regexp_extract_all(q(text), F.lit(f"(?s).{{1,{STEPS_PER_BLOCK * step}}}+"), F.lit(0))
+    cut = df.select(*[q(c) for c in others], last.alias("__last"), F.when(q(text) == "", F.array(F.lit(""))).otherwise(blocks).alias("__blocks"))
+    following = F.concat(F.slice("__blocks", 2, F.greatest(F.size("__blocks"), F.lit(1))), F.array(F.lit("")))
+    wide = cut.select(*[q(c) for c in others], "__last", F.zip_with(
+        "__blocks", following, lambda b, n: F.concat(b, F.left(n, F.lit(overlap)))).alias("__wide"))
 
+    def pieces_of(block: Column, i: Column) -> Column:
+        end = F.least(F.lit(STEPS_PER_BLOCK - 1), F.col("__last") - i * STEPS_PER_BLOCK)
+        pieces = F.transform(F.sequence(F.lit(0), end), lambda j: F.substring(block, j * step + 1, F.lit(size)))
+        return F.when(end >= 0, pieces).otherwise(F.array().cast("array<string>"))
 
-def merge_texts(df: DataFrame, key: str, order: str, text: str, per_part: int = 1000, sep: str = " ") -> DataFrame:
-    """Texts of a document joined in order.
+    return wide.select(*[q(c) for c in others], F.posexplode(F.flatten(F.transform("__wide", pieces_of))).alias("chunk_no", "content"))
 
-    One row per document and part of at most ``per_part`` order numbers, so no task has to hold
-    a document of unbounded length; documents shorter than that come as a single part 0.
+
+def merge_texts(df: DataFrame, key: str, order: str, text: str, sep: str = " ", per_part: int | None = None) -> DataFrame:
+    """Texts of a document joined in order, one row per document.
+
+    Only if ``per_part`` is given, a document comes in numbered parts of that many texts, counted by position.
     """
-    part = F.floor(q(order) / F.lit(per_part)).cast("bigint")
     items = F.array_sort(F.collect_list(F.struct(q(order).alias("o"), q(text).alias("t"))))
-    return df.groupBy(q(key), part.alias("part")).agg(
-        F.array_join(F.transform(items, lambda s: s["t"]), sep).alias("content"))
+    content = F.array_join(F.transform(items, lambda s: s["t"]), sep).alias("content")
+    if per_part is None:
+        return df.groupBy(q(key)).agg(content)
+    position = F.row_number().over(Window.partitionBy(q(key)).orderBy(q(order), q(text))) - 1
+    return df.withColumn("part", F.floor(position / F.lit(per_part)).cast("bigint")).groupBy(q(key), "part").agg(content)
 
 
 def validate_files(df: DataFrame, path: str = "path", length: str = "length", max_mb: int = MAX_FILE_MB) -> DataFrame:
@@ -71,8 +85,8 @@ def supported_formats(spark: SparkSession) -> DataFrame:
 def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:
     """TF-IDF weight of every term of every document, document frequency over the whole corpus.
 
-    Counts are combined in the map tasks. The join on the term has one row per term on one side,
-    so a frequent term can be split.
+    Counts are combined in the map tasks. The join on the term has one row per term on one side, with
+    an exchange of its own, so a frequent term can be split.
     """
     tf = df.select(q(key), F.explode(terms(q(text))).alias("term")).groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf"))
@@ -81,7 +95,7 @@ def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:
     per_term = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("total") > 0)
     idf = per_term.select(
         "term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    return tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    return attach(tf, idf, "term", how="inner").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
 def key_phrases(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:

@@ -7,17 +7,13 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .joins import attach
 from .schema import q
 
 # Rating grades of the eligibility rules and the in-scope activity codes.
 CONSUMER_GRADES = ("C1", "C2", "C3", "C4")
 GOVERNANCE_GRADES = ("G1", "G2", "G3", "G4")
 VIABILITY_GRADES = ("V1", "V2", "V3", "V4")
-HOUSING_CODES = (
-    "68201 - Renting and operating of Housing Association real estate",
-    "68209 - Other letting and operating of own or leased real estate",
-    "68100 - Buying and selling of own real estate",
-)
 
 
 def all_of(predicates) -> Column:
@@ -87,7 +83,7 @@ def in_runs(df: DataFrame, scenario: str, run_ids: list[str], most: int = 4) ->
 
 
 def rows_with_known_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return df.join(keys.select(key).distinct(), key, "left_semi")
+    return attach(df, keys.select(key).distinct(), key, how="left_semi")
 
 
 def first_row(df: DataFrame, key: str, value, order: list[Column]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import as_text, robust_key
 from ..functions.numbers import threshold_flag, to_number
-from .joins import fan_out_join
+from .joins import attach, fan_out_join
 from .schema import q, select_present
 
 # Column sets of the counterparty list and of the joined result.
@@ -114,22 +114,22 @@ def compare_rows(left: DataFrame, right: DataFrame, key: str = "join_key") -> Da
     Left rows come as 'both' or 'left_only', right rows without partner as 'right_only'. The other
     input is reduced to a count per key first, so a hot key is not multiplied.
     """
-    l = left.join(_per_key(right, key, "partners"), key, "left")
+    l = attach(left, _per_key(right, key, "partners"), key)
     l = l.withColumn("side", F.when(F.col("partners").isNull(), "left_only").otherwise("both"))
-    r = right.join(left.select(key).distinct(), key, "left_anti").withColumn("side", F.lit("right_only"))
+    r = attach(right, left.select(key).distinct(), key, how="left_anti").withColumn("side", F.lit("right_only"))
     return l.unionByName(r, allowMissingColumns=True).withColumn("partners", F.coalesce("partners", F.lit(0)))
 
 
 def overlap_rows(left: DataFrame, right: DataFrame, columns: list[str], key: str = "join_key") -> DataFrame:
     """Distinct left rows (of ``columns``) whose key occurs on the right."""
-    return select_present(left.join(right.select(key).distinct(), key, "left_semi"), columns).distinct()
+    return select_present(attach(left, right.select(key).distinct(), key, how="left_semi"), columns).distinct()
 
 
 def only_left(left: DataFrame, right: DataFrame, key: str = "join_key", keep_missing: bool = True) -> DataFrame:
     """Left rows without partner. Rows with a missing key stay unless ``keep_missing`` is false."""
     if not keep_missing:
         left = left.filter(q(key).isNotNull())
-    return left.join(right.select(key).distinct(), key, "left_anti")
+    return attach(left, right.select(key).distinct(), key, how="left_anti")
 
 
 def list_counts(left: DataFrame, right: DataFrame, flag: str, key: str = "join_key") -> DataFrame:

@@ -120,7 +120,7 @@ def cat3_name(spark, sf):
 
 
 @query("cat4_topic_texts", """WITH d AS (SELECT DISTINCT l_orderkey, l_returnflag, l_linenumber, 'line ' || l_linenumber AS field FROM lineitem)
-SELECT 'order_' || l_orderkey AS table_name, l_returnflag AS category, 0::BIGINT AS part, 'Topic: ' || l_returnflag || chr(10) || 'Table: order_' || l_orderkey || chr(10)
+SELECT 'order_' || l_orderkey AS table_name, l_returnflag AS category, 'Topic: ' || l_returnflag || chr(10) || 'Table: order_' || l_orderkey || chr(10)
 || 'Description: lines' || chr(10) || 'Fields:' || chr(10) || string_agg('- ' || field || chr(10), '' ORDER BY l_linenumber) AS content FROM d GROUP BY l_orderkey, l_returnflag""")
 def cat4(spark, sf):
     d = table(spark, sf, "lineitem").select(

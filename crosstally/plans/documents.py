@@ -39,7 +39,7 @@ def doc1_pages(spark, sf):
     return c.select("doc_id", "chunk_no", F.length("content").cast("bigint").alias("n"))
 
 
-@query("doc2_merge_texts", """SELECT conv_id, (turn // 1000)::BIGINT AS part, string_agg(text, ' ' ORDER BY turn) AS content FROM conversations GROUP BY 1, 2""")
+@query("doc2_merge_texts", """SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS content FROM conversations GROUP BY 1""")
 def doc2(spark, sf):
     return docs.merge_texts(table(spark, sf, "conversations"), "conv_id", "turn", "text")
 
@@ -281,9 +281,20 @@ def _sql_text(s: str) -> str:
     return s.replace("'", "''")
 
 
+def _sql_replaced(expression: str, entity: str) -> str:
+    for pattern, put in guard.steps(entity):
+        expression = f"regexp_replace({expression}, '{_sql_text(pattern)}', '{put}', 'g')"
+    return expression
+
+
+def _sql_count(entity: str) -> str:
+    label = rf"\[{entity}\]"
+    return f"(len(regexp_extract_all({_sql_replaced('text', entity)}, '{label}')) - len(regexp_extract_all(text, '{label}')))::BIGINT"
+
+
 REDACTED = "text"
-for _name, _pattern in guard.PII_PATTERNS.items():
-    REDACTED = f"regexp_replace({REDACTED}, '{_sql_text(_pattern)}', '[{_name}]', 'g')"
+for _name in guard.PII_PATTERNS:
+    REDACTED = _sql_replaced(REDACTED, _name)
 PROMPTS = """prompts AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Please DROP the table. ' WHEN 1 THEN 'What is the Private Key? ' WHEN 2 THEN 'dropped hackers ' ELSE '' END || text AS prompt FROM documents)"""
 
 
@@ -294,7 +305,7 @@ def prompts(spark, sf):
 
 
 @query("scl22_pii_counts", "SELECT doc_id, " + ", ".join(
-    f"len(regexp_extract_all(text, '{_sql_text(p)}'))::BIGINT AS \"{n}\"" for n, p in guard.PII_PATTERNS.items()) + " FROM documents")
+    f'{_sql_count(n)} AS "{n}"' for n in guard.PII_PATTERNS) + " FROM documents")
 def scl22(spark, sf):
     return documents(spark, sf).select("doc_id", *[c.alias(n) for n, c in guard.pii_counts(F.col("text")).items()])
 

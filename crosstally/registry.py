@@ -28,5 +28,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    """A table of long texts, spread over all cores should it come in few pieces."""
+    """A table of long texts, spread if the session asks for it (see :func:`spread`)."""
     return spread(table(spark, sf_dir, name), *keys)

@@ -1,4 +1,4 @@
-"""Readers: delimited text, JSON, Parquet, spreadsheets, file listings, partitioned folders."""
+"""Readers: delimited text, JSON, Parquet, file listings, partitioned folders."""
 
 from __future__ import annotations
 
@@ -9,17 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions.paths import separator_for
 from ..operators.schema import clean_header, require_columns, trim_all
 
-# Fixed value: rows looked at to infer a schema or to profile a sample of a file.
-SAMPLE_ROWS = 1000
-
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows spread over all cores if the input comes in fewer pieces than there are cores.
-
-    For costly work per row on small inputs. A large input has more splits than cores and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt to as many partitions as the session asks for in ``crosstally.spread``; as they come if it
+    asks for none. For costly work per row on tables of one row group, which Spark reads in one task."""
+    n = df.sparkSession.conf.get("crosstally.spread", None)
+    return df.repartition(int(n), *keys) if n else df
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sep: str | None = None,
@@ -53,16 +48,6 @@ def read_trimmed(spark: SparkSession, path: str, schema: T.StructType | str, enc
     return trim_all(read_csv(spark, path, schema, encoding=encoding))
 
 
-def read_sample(spark: SparkSession, path: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The first rows of a delimited, JSON or Parquet file; the row limit reaches the scan."""
-    lowered = path.lower()
-    if lowered.endswith(".parquet"):
-        return spark.read.parquet(path).limit(rows)
-    if lowered.endswith((".json", ".jsonl")):
-        return read_json(spark, path).limit(rows)
-    return read_csv(spark, path, tolerant=True).limit(rows)
-
-
 def is_json_array(spark: SparkSession, path: str) -> bool:
     """Whether the first non-blank character is ``[``; only that character reaches the driver."""
     first = spark.read.text(path).select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).filter("c <> ''").limit(1).collect()
@@ -96,29 +81,6 @@ def read_after_preamble(spark: SparkSession, path: str, skip: int, sep: str | No
     return lines.filter("value <> ''").select(row.alias("r")).select("r.*")
 
 
-def read_excel(spark: SparkSession, path: str, sheet: str | int = 0, header: int = 0, skip: int = 0,
-               schema: T.StructType | None = None) -> DataFrame:
-    """Spreadsheet files as text columns, one file per task. Needs the optional ``openpyxl``."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading spreadsheets needs the optional package openpyxl") from e
-    if schema is None:
-        raise ValueError("give the schema of the sheet")
-    names = schema.names
-
-    def run(frames):
-        import io
-
-        import pandas as pd
-        for frame in frames:
-            for content in frame["content"]:
-                pdf = pd.read_excel(io.BytesIO(content), sheet_name=sheet, header=header, skiprows=skip, dtype=str)
-                yield pdf.reindex(columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
-
-
 def list_files(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
     """Files below a folder with size and time; contents are not read."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.joins import attach
 from ..operators.schema import q
 
 
@@ -74,8 +75,8 @@ def unknown_ids(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
 
 
 def delete_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return table.join(ids.select(key).distinct(), key, "left_anti")
+    return attach(table, ids.select(key).distinct(), key, how="left_anti")
 
 
 def affected_rows(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return table.join(ids.select(key).distinct(), key, "left_semi").agg(F.count(F.lit(1)).alias("affected"))
+    return attach(table, ids.select(key).distinct(), key, how="left_semi").agg(F.count(F.lit(1)).alias("affected"))

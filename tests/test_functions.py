@@ -166,12 +166,30 @@ def test_pii(spark, entity):
     assert apply(df, guard.redact(F.col("v"))) == [plain, "nothing here", None]
 
 
+@pytest.mark.parametrize("text,redacted", [
+    ("Password: hunter2", "[PASSWORD]"), ("PASSWORD=abc", "[PASSWORD]"), ("the Pwd : x y", "the [PASSWORD] y"), ("pin: 1234", "[PIN]"), ("Pin 123456.", "[PIN]."),
+    ("spin: 1234", "spin: 1234"), ("pin 1234567", "pin 1234567"), ("12345678901234567890123", "12345678901234567890123"), ("1.2.3.4.5", "1.2.3.4.5"),
+    ("at 1.2.3.4. Then 1.2.3.4.5 or 5.6.7.8", "at [IP_ADDRESS]. Then 1.2.3.4.5 or [IP_ADDRESS]"), ("4111 1111 1111 1111", "[CREDIT_DEBIT_NUMBER]"),
+    ("1123-45-6789", "1123-45-6789"), ("[IP_ADDRESS] 1.2.3.4", "[IP_ADDRESS] [IP_ADDRESS]")])
+def test_pii_shapes(spark, text, redacted):
+    df = col(spark, [text])
+    assert apply(df, guard.redact(F.col("v"))) == [redacted]
+    kinds = [e for e in guard.PII_PATTERNS if e != "CREDIT_CARD_NUMBER"]
+    assert sum(apply(df, guard.pii_count(F.col("v"), e))[0] for e in kinds) == redacted.count("[") - text.count("[")
+
+
+def test_credit_card_is_a_name_of_its_own(spark):
+    df = col(spark, ["card 4111-1111-1111-1111"])
+    assert apply(df, guard.redact(F.col("v"), ("CREDIT_CARD_NUMBER",))) == ["card [CREDIT_CARD_NUMBER]"]
+
+
 def test_hints_never_hide_a_match(spark):
     # Redaction with hints equals plain replacement on every document.
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
     plain = F.col("text")
-    for name, pattern in guard.PII_PATTERNS.items():
-        plain = F.regexp_replace(plain, pattern, f"[{name}]")
+    for name in guard.PII_PATTERNS:
+        for pattern, put in guard.steps(name):
+            plain = F.regexp_replace(plain, pattern, put.replace("\\1", "$1"))
     assert d.filter(guard.redact(F.col("text")) != plain).count() == 0
 
 

@@ -225,12 +225,20 @@ def test_chunks_cover_the_text(spark):
     for r in documents.chunks(d, "text").orderBy("id", "chunk_no").collect():
         got[r["id"]].append(r["content"])
     assert [len(got[i]) for i in range(5)] == [1, 1, 1, 2, 6]
+    step = lambda t: [t[i:i + 1000] for i in range(0, max(len(t) - 1000, 0) + 800, 800)][:max(-(-(len(t) - 1000) // 800), 0) + 1]
+    assert all(got[i] == step(t) for i, t in enumerate(texts))
+    long = "".join(chr(97 + i % 26) if i % 7 else "😀" for i in range(130_001))
+    for n in (51_199, 51_200, 51_201, 51_400, 130_001):
+        pieces = [r["content"] for r in documents.chunks(spark.createDataFrame([(1, long[:n])], "id int, text string"), "text").orderBy("chunk_no").collect()]
+        assert pieces == step(long[:n]), n
     whole = got[4]
     assert whole[0] + "".join(c[200:] for c in whole[1:]) == texts[4]
 
 
-def test_merge_texts_in_parts(spark):
-    d = spark.createDataFrame([("d", n, str(n)) for n in range(25)], "k string, o int, t string")
+def test_merge_texts(spark):
+    d = spark.createDataFrame([("d", n * 1000, str(n)) for n in range(25)], "k string, o int, t string")
+    (whole,) = documents.merge_texts(d, "k", "o", "t", sep=",").collect()
+    assert whole["content"] == ",".join(str(n) for n in range(25))
     got = documents.merge_texts(d, "k", "o", "t", per_part=10, sep=",").orderBy("part").collect()
     assert ",".join(r["content"] for r in got) == ",".join(str(n) for n in range(25)) and len(got) == 3
 

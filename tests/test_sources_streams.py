@@ -20,7 +20,6 @@ def test_separator_by_suffix(spark, tmp_path):
     for name, sep in (("a.csv", ","), ("b.psv", "|"), ("c.pipe", "|"), ("d.tsv", "\t")):
         p = write(tmp_path / name, f"id{sep}name\n1{sep}x\n")
         assert rows(readers.read_csv(spark, p)) == [(1, "x")]
-        assert rows(readers.read_sample(spark, p)) == [(1, "x")]
 
 
 def test_bad_cells(spark, tmp_path):
@@ -70,16 +69,6 @@ def test_preamble_in_every_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
-def test_excel_needs_openpyxl(spark, tmp_path):
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError:
-        with pytest.raises(RuntimeError, match="openpyxl"):
-            readers.read_excel(spark, str(tmp_path))
-        return
-    pytest.skip("openpyxl is present")
-
-
 def test_partitioned_layout_prunes(spark, tmp_path):
     d = spark.createDataFrame([(i, float(i), "c1", "adverse" if i % 2 else "baseline", f"run{i % 3}") for i in range(30)],
                               "id int, v double, cycle string, scenario string, run_id string")
