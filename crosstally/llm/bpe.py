@@ -6,8 +6,8 @@ taken; an entry whose symbols have changed meanwhile is stale and skipped; a mer
 their new pairs. Decoding concatenates the tokens' bytes.
 
 Texts are encoded in the tasks, row by row; nothing is shuffled. The tokenizer's file (a fixed size) is read on the
-driver and goes to the tasks as a broadcast. Pieces met before are remembered by each worker up to a fixed
-number. Long texts are taken in segments, cut where the pattern always ends a piece.
+driver and goes to the tasks as a broadcast. The pieces met last are remembered by each worker, up to twice a
+fixed number. Long texts are taken in segments, cut where the pattern always ends a piece.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import pandas as pd
 import regex
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The same for texts of ASCII characters.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 SEGMENT = 1 << 18
 REMEMBERED = 200_000
 
@@ -49,53 +53,68 @@ class Tokenizer:
             self.bytes_of[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
         self.numbers = list(map(str, range(len(self.bytes_of))))
         self.first = [vocabulary[c] for c in letters]
-        self.merges = {}
-        for rank, merge in enumerate(told["model"]["merges"]):
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges[vocabulary[a], vocabulary[b]] = (rank, vocabulary[a + b])
+        # By rank: the two symbols and what they become; by pair (in one number): the rank.
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"]]
+        self.left = [vocabulary[a] for a, _ in pairs]
+        self.right = [vocabulary[b] for _, b in pairs]
+        self.merged = [vocabulary[a + b] for a, b in pairs]
+        self.rank = {a << 32 | b: r for r, (a, b) in enumerate(zip(self.left, self.right))}
         self.added = added
         self.added_pattern = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.pieces = regex.compile(PATTERN).findall
+        self.any_pieces, self.ascii_pieces = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
         self.cut = regex.compile(r"(?<=\S)(?=\s)")
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one piece."""
-        merges, symbols = self.merges, [self.first[b] for b in piece]
+        rank, left, right, symbols = self.rank.get, self.left, self.right, [self.first[b] for b in piece]
         n = len(symbols)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(*found, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (found := merges.get((symbols[i], symbols[i + 1])))]
+        # A queue entry is one number: rank, then place.
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank(symbols[i] << 32 | symbols[i + 1])) is not None]
+        if not queue:
+            return tuple(symbols)
         heapq.heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        pop, push = heapq.heappop, heapq.heappush
+        symbols.append(-1)
         while queue:
-            _, merged, i, a, b = heapq.heappop(queue)
+            entry = pop(queue)
+            r, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
-            if symbols[i] != a or j >= n or symbols[j] != b:
+            if symbols[i] != left[r] or symbols[j] != right[r]:
                 continue  # stale: one of the two is part of another merge by now
-            symbols[i], symbols[j] = merged, -1
+            new = symbols[i] = self.merged[r]
+            symbols[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((merged, symbols[k])):
-                    heapq.heappush(queue, (*found, i, merged, symbols[k]))
+                if (r := rank(new << 32 | symbols[k])) is not None:
+                    push(queue, r << 32 | i)
             h = before[i]
-            if h >= 0 and (found := merges.get((symbols[h], merged))):
-                heapq.heappush(queue, (*found, h, symbols[h], merged))
-        return tuple(s for s in symbols if s >= 0)
+            if h >= 0 and (r := rank(symbols[h] << 32 | new)) is not None:
+                push(queue, r << 32 | h)
+        return tuple([s for s in symbols if s >= 0])
+
+    def pieces(self, text: str) -> list[str]:
+        return self.ascii_pieces(text) if text.isascii() else self.any_pieces(text)
 
     def _remember(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece that is not among the last REMEMBERED new ones: one of those before them, or merged."""
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        ids = self.known[piece] = self.merge(piece.encode("utf-8", "replace"))
+            self.known, self.older = {}, self.known
+        ids = self.known[piece] = self.older.get(piece) or self.merge(piece.encode("utf-8", "replace"))
         return ids
 
     def _plain(self, text: str):
         """Ids of a text without added tokens, a list per segment."""
-        known, remember, at = self.known, self._remember, 0
+        remember, at = self._remember, 0
         while at < len(text):
             end = at + SEGMENT
             found = self.cut.search(text, end) if end < len(text) else None
             end = found.start() if found else len(text)
-            yield list(chain.from_iterable([known.get(p) or remember(p) for p in self.pieces(text[at:end])]))
+            known = self.known.get
+            yield list(chain.from_iterable([known(p) or remember(p) for p in self.pieces(text[at:end])]))
             at = end
 
     def segments(self, text: str | None):
@@ -120,8 +139,9 @@ class Tokenizer:
         for ids in self.segments(text):
             if not ids:
                 continue
-            joined.update((("," if n else "") + ",".join(map(self.numbers.__getitem__, ids))).encode())
-            decoded.update(reader.decode(b"".join(map(self.bytes_of.__getitem__, ids))).encode())
+            pick = itemgetter(*ids, ids[0])  # of one item it would give no tuple, so the first comes again
+            joined.update((("," if n else "") + ",".join(pick(self.numbers)[:-1])).encode())
+            decoded.update(reader.decode(b"".join(pick(self.bytes_of)[:-1])).encode())
             n += len(ids)
         decoded.update(reader.decode(b"", True).encode())
         return n, joined.hexdigest(), decoded.hexdigest()
