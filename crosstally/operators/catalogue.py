@@ -10,7 +10,10 @@ import pyarrow.compute as pc
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.paths import file_extension, file_name, path_components
+from ..functions.numbers import no_nan
+from ..functions.paths import file_extension, file_name, path_components, separator_for
+from ..sources.sinks import materialise
+from .joins import attach
 from .ranking import top_per_key
 from .schema import q
 
@@ -72,7 +75,9 @@ def _smallest_per_file(k: int, kinds: dict[str, str]):
 
 def _found(df: DataFrame, file: Column) -> DataFrame:
     kinds = {f.name: catalogue_type(f.dataType) for f in df.schema}
-    cells = df.select(file.alias("__file"), *[q(c).cast(_CARRIER[kind]).alias(c) for c, kind in kinds.items()])
+    # NaN is a missing value: kept, it would sort behind all numbers and no later number could be below it.
+    carried = {c: no_nan(q(c).cast("double")) if kind == "float" else q(c).cast(_CARRIER[kind]) for c, kind in kinds.items()}
+    cells = df.select(file.alias("__file"), *[v.alias(c) for c, v in carried.items()])
     return cells.mapInArrow(_smallest_per_file(TEXT_SAMPLES, kinds), _FOUND)
 
 
@@ -94,22 +99,46 @@ def profile_columns(df: DataFrame, file: Column | None = None) -> DataFrame:
     return _profile(_found(df, F.lit("") if file is None else file))
 
 
+def _opened(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:
+    """A dataset with typed columns; delimited text with the separator of its suffix and inferred types."""
+    if fmt == "csv":
+        reader = spark.read.options(header=True, inferSchema=True, sep=separator_for(path), quote='"', escape='"', **options)
+        return reader.csv(path)
+    return spark.read.options(**options).format(fmt).load(path)
+
+
 def catalogue_rows(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
     """Catalogue of datasets ``{path: format}``: path tags, name, type, column profile.
 
-    A dataset whose files cannot be opened keeps its row with the error text.
+    A dataset that cannot be opened, or whose files break while they are read, keeps a row with the error text;
+    one without any value keeps a row without columns.
     """
-    found, failed = [], []
+    found, failed = [], {}
     for path, fmt in datasets.items():
         try:
-            found.append(_found(spark.read.format(fmt).option("header", True).load(path), F.lit(path)))
+            found.append(_found(_opened(spark, path, fmt, ignoreCorruptFiles=True), F.lit(path)))
         except PySparkException as e:
-            failed.append((path, str(e).split("\n")[0]))
-    errors = spark.createDataFrame(failed, "path string, error string")
+            failed[path] = str(e).split("\n")[0]
+    rows = spark.createDataFrame([], "path string, column string, data_type string, sample_values array<string>")
     if found:
-        rows = _profile(reduce(DataFrame.unionByName, found)).withColumnRenamed("file", "path")
-        errors = rows.unionByName(errors, allowMissingColumns=True)
-    return with_path_tags(errors, "path").withColumn("file_type", file_extension(F.col("path")))
+        rows = materialise(_profile(reduce(DataFrame.unionByName, found)).withColumnRenamed("file", "path"), "profiles")
+    silent = set(datasets) - set(failed) - {r[0] for r in rows.select("path").distinct().collect()}
+    for path in sorted(silent):  # broken while read, or empty: a look without tolerance tells
+        try:
+            _opened(spark, path, datasets[path]).write.format("noop").mode("overwrite").save()
+            failed[path] = None
+        except Exception as e:
+            failed[path] = str(e).split("\n")[0]
+    errors = spark.createDataFrame(list(failed.items()), "path string, error string")
+    return with_path_tags(rows.unionByName(errors, allowMissingColumns=True), "path").withColumn("file_type", file_extension(F.col("path")))
+
+
+def nested_catalogue(rows: DataFrame) -> DataFrame:
+    """One row per dataset with its tags and its columns as a list of structs: the form that is stored as JSON."""
+    parts = ("column", "data_type", "sample_values")
+    keys = [c for c in rows.columns if c not in parts]
+    column = F.when(F.col("column").isNotNull(), F.struct(*parts))
+    return rows.groupBy(*[q(k) for k in keys]).agg(F.array_sort(F.collect_list(column)).alias("columns"))
 
 
 def with_path_tags(df: DataFrame, path: str, skip: int = 0) -> DataFrame:
@@ -128,7 +157,7 @@ def relevant_files(catalogue: DataFrame, question: str, columns: Column, k: int
     """
     from .retrieval import query_terms
     asked = F.array(*[F.lit(t) for t in query_terms(question)])
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     found_in = lambda c: F.size(F.array_intersect(asked, words(c)))
     score = found_in(F.array_join(columns, " ")) + found_in(F.col("path")) + found_in(F.coalesce("scenario", F.lit("")))
     best = catalogue.withColumn("score", score.cast("bigint")).orderBy(F.desc("score"), "path").limit(k)
@@ -136,10 +165,15 @@ def relevant_files(catalogue: DataFrame, question: str, columns: Column, k: int
 
 
 def files_by_name(catalogue: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Catalogue rows for wanted paths: exact path first, else the first path with the same file name."""
-    names = wanted.select(F.col("path").alias("wanted"), file_name(F.col("path")).alias("file_name"))
-    hits = catalogue.select("path", file_name(F.col("path")).alias("file_name")).join(names, "file_name")
-    return top_per_key(hits, ["wanted"], [(F.col("path") == F.col("wanted")).desc(), F.col("path")])
+    """Catalogue rows for wanted paths: the path itself if it is catalogued, else the first path with the same
+    file name. The catalogue is reduced to one path per file name first, so that a name found in every
+    folder is one row of the join."""
+    paths = catalogue.select("path", file_name(F.col("path")).alias("file_name"))
+    names = wanted.select(F.col("path").alias("wanted"), file_name(F.col("path")).alias("file_name")).distinct()
+    known = catalogue.select(F.col("path").alias("wanted")).distinct()
+    exact = attach(names, known, "wanted", how="left_semi").withColumn("path", F.col("wanted"))
+    others = attach(attach(names, known, "wanted", how="left_anti"), paths.groupBy("file_name").agg(F.min("path").alias("path")), "file_name", how="inner")
+    return exact.unionByName(others)
 
 
 def topic_texts(dictionary: DataFrame) -> DataFrame:

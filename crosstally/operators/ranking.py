@@ -38,8 +38,11 @@ def top_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int = 1000) -> DataFrame:
-    """Page ``number`` (from 1) of the ordered rows. For pages far down use :func:`page_after`."""
+def page(df: DataFrame, order: list[Column], number: int, size: int = 1000, deepest: int = 100_000) -> DataFrame:
+    """Page ``number`` (from 1) of the ordered rows. All rows up to the page pass one task, so a page must end
+    within the first ``deepest`` rows; further down use :func:`page_after`, which costs the same at any depth."""
+    if number * size > deepest:
+        raise ValueError(f"page {number} ends behind row {deepest}; use page_after")
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 

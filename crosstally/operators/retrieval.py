@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import strip
 from ..functions.paths import file_name
+from ..functions.payload import parse_payload
 from ..functions.text import TERM_CHARACTER, TERM_PATTERN
 from .joins import figures
 from .ranking import sorted_pages, top_per_key
@@ -182,24 +183,32 @@ def facet_counts(hits: DataFrame, facets: list[str]) -> DataFrame:
 
 
 def chat_context(turns: DataFrame, group: str = "conv_id", order: str = "turn", role: str = "role",
-                 text: str = "text", last: int = CHAT_TURNS) -> DataFrame:
+                 text: str = "text", last: int = CHAT_TURNS, reply=None) -> DataFrame:
     """Question/answer pairs among the last turns of a conversation as one text.
 
     The last turns are cut per map task first, so at most ``last`` rows of a conversation meet.
     Turns pair by position: the 1st with the 2nd, the 3rd with the 4th, and so on, counted from the
-    oldest turn kept; pairs that are not user then assistant are left out.
+    oldest turn kept; pairs that are not user then assistant are left out. ``reply`` turns an assistant's
+    text into its line (:func:`json_reply` reads JSON answers and sums up charts); else the text is quoted.
     """
-    recent = top_per_key(turns, [group], [q(order).desc()], last, rank="back")
+    said = (reply or (lambda c: F.concat(F.lit(ANSWER_LINE), c)))(q(text))
+    recent = top_per_key(turns, [group], [q(order).desc()], last, rank="back").withColumn(
+        text, F.when(q(role) == "assistant", said).otherwise(q(text)))
     listed = F.array_sort(F.collect_list(F.struct(q(order).alias("o"), q(role).alias("r"), q(text).alias("t"))))
     rows = recent.groupBy(q(group)).agg(listed.alias("m"))
     numbered = F.transform("m", lambda x, i: F.struct(i.alias("i"), x["r"].alias("r"), x["t"].alias("t")))
     pair = lambda x: F.get(F.col("m"), x["i"] + 1)
     good = F.filter(numbered, lambda x: (x["i"] % 2 == 0) & (x["r"] == "user")
                     & F.coalesce(pair(x)["r"] == "assistant", F.lit(False)))
-    text_of = lambda x: F.concat(F.lit(QUESTION_LINE), x["t"], F.lit("\n\n" + ANSWER_LINE), pair(x)["t"])
+    text_of = lambda x: F.concat(F.lit(QUESTION_LINE), x["t"], F.lit("\n\n"), pair(x)["t"])
     return rows.select(q(group), F.array_join(F.transform(good, text_of), "\n\n").alias("context"))
 
 
+def json_reply(c: Column) -> Column:
+    """History line of an assistant turn that may be a JSON payload, with a summary of its charts."""
+    return reply_history(c, parse_payload(c), with_charts=True)
+
+
 def chart_summary(charts: Column) -> Column:
     """'Chart 1: 2 columns, 5 rows, …' of a payload's charts."""
     return F.array_join(F.transform(charts, lambda c, i: F.concat(

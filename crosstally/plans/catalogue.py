@@ -11,8 +11,8 @@ from ..registry import query, table
 from ..sources import readers, sinks
 from .inputs import FILE_PATHS, file_paths, sql_with
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-ALL_TABLES = TABLES + ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+          "benchmark", "labels", "conversations")
 PROFILED = {
     "region": "r_regionkey:int r_name:string",
     "nation": "n_nationkey:int n_name:string n_regionkey:int",
@@ -23,34 +23,99 @@ PROFILED = {
     "lineitem": "l_orderkey:int l_partkey:int l_suppkey:int l_linenumber:int l_quantity:float l_extendedprice:float l_discount:float "
                 "l_tax:float l_returnflag:string l_linestatus:string l_shipdate:string",
     "events": "event_id:int ts:string user_id:int event_type:string value:float props:string",
+    "documents": "doc_id:int text:string lang:string source:string n_chars:int",
+    "embeddings": "vec_id:int embedding:string label:int",
+    "pages": "page_id:int url:string html:string",
+    "benchmark": "item_id:int text:string",
+    "labels": "doc_id:int quality:int toxic:int",
+    "conversations": "conv_id:int turn:int role:string text:string",
 }
+TAGS = ("level_1", "level_2", "version", "run_id", "stage", "scenario", "cycle")
 
 
-def _profile_sql() -> str:
-    parts = []
-    for t, columns in PROFILED.items():
-        for spec in columns.split():
-            c, kind = spec.split(":")
-            k = 10 if kind == "string" else 5
-            parts.append(f"SELECT '{t}.parquet' AS file_name, '{c}' AS \"column\", '{kind}' AS data_type, (SELECT string_agg(v::VARCHAR, '|' ORDER BY v) FROM "
-                         f"(SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT {k})) AS samples")
-    return "\nUNION ALL ".join(parts)
+def _samples_sql(source: str, c: str, kind: str) -> str:
+    """Arrays are written differently by the engines, so their samples are not compared."""
+    if c == "embedding":
+        return "NULL"
+    k = 10 if kind == "string" else 5
+    return f"(SELECT string_agg(v::VARCHAR, '|' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM {source} WHERE {c} IS NOT NULL ORDER BY v LIMIT {k}))"
 
 
-@query("cat1_cat2_catalogue", _profile_sql())
+def _columns_sql(file: str, source: str, spec: str) -> list[str]:
+    return [f"SELECT '{file}' AS file_name, '{c}' AS \"column\", '{kind}' AS data_type, {_samples_sql(source, c, kind)} AS samples"
+            for c, kind in (x.split(":") for x in spec.split())]
+
+
+PROFILE_SQL = "\nUNION ALL ".join(row for t, spec in PROFILED.items() for row in _columns_sql(f"{t}.parquet", t, spec))
+
+
+def _samples():
+    return F.when(F.col("column") != "embedding", F.array_join("sample_values", "|")).alias("samples")
+
+
+def _catalogue(spark, sf):
+    return cat.catalogue_rows(spark, {f"{sf}/{t}.parquet": "parquet" for t in TABLES})
+
+
+@query("cat1_cat2_catalogue", f"SELECT *, 'parquet' AS file_type, false AS failed FROM ({PROFILE_SQL})")
 def cat1(spark, sf):
-    rows = cat.catalogue_rows(spark, {f"{sf}/{t}.parquet": "parquet" for t in TABLES})
-    return rows.select("file_name", "column", "data_type", F.array_join("sample_values", "|").alias("samples"))
+    return _catalogue(spark, sf).select("file_name", "column", "data_type", _samples(), "file_type", F.col("error").isNotNull().alias("failed"))
+
+
+DELIMITED = "c_custkey:int c_name:string c_acctbal:float c_mktsegment:string"
+
+
+@query("cat1_delimited", "SELECT 'root' AS level_1, 'cycle7' AS cycle, 'run003' AS run_id, 'adverse' AS scenario, *, split_part(file_name, '.', 2) AS file_type, false AS failed FROM ("
+       + "\nUNION ALL ".join(r for f in ("customers.csv", "customers.psv", "customers.tsv") for r in _columns_sql(f, "customer", DELIMITED))
+       + ") UNION ALL SELECT 'root', 'cycle7', 'run003', 'adverse', 'broken.parquet', NULL, NULL, NULL, 'parquet', true")
+def cat1_delimited(spark, sf):
+    """Delimited copies of a table in tagged folders, and one dataset that is no Parquet."""
+    top = sinks.scratch(spark, "lake")
+    out = f"{top}/root/cycle7/adverse/run003"
+    for suffix, sep in (("csv", ","), ("psv", "|"), ("tsv", "\t")):
+        sinks.write_csv(customers(spark, sf), f"{out}/customers.{suffix}", sep=sep)
+    customers(spark, sf).select("c_name").write.text(f"{out}/broken.parquet")
+    rows = cat.catalogue_rows(spark, {f"{out}/{n}": f for n, f in (
+        ("customers.csv", "csv"), ("customers.psv", "csv"), ("customers.tsv", "csv"), ("broken.parquet", "parquet"))})
+    rows = cat.with_path_tags(rows, "path", top.count("/") + 1)
+    return rows.select("level_1", "cycle", "run_id", "scenario", "file_name", "column", "data_type", _samples(), "file_type", F.col("error").isNotNull().alias("failed"))
+
+
+@query("snk3_nested_catalogue", PROFILE_SQL)
+def snk3(spark, sf):
+    out = sinks.scratch(spark, "catalogue.json")
+    nested = cat.nested_catalogue(_catalogue(spark, sf))
+    sinks.write_json(nested, out)
+    back = readers.read_json(spark, out, nested.schema)
+    return back.select("file_name", F.inline("columns")).select("file_name", "column", "data_type", _samples())
+
+
+def _at(path):
+    """A path with one slash after its scheme, as listings and scans write it differently."""
+    return F.regexp_replace(path, "^([a-z]+):/+", "$1:/")
 
 
-@query("src9_list_files", "SELECT unnest([" + ", ".join(f"'{t}.parquet'" for t in ALL_TABLES) + "]) AS file_name")
+@query("src9_list_files", "SELECT c_mktsegment, count(*) AS rows, true AS has_size FROM customer GROUP BY 1")
 def src9(spark, sf):
-    return readers.list_files(spark, sf, [".parquet"]).select(file_name(F.col("path")).alias("file_name"))
+    """Files listed below a folder that a table was written to, with the rows they hold."""
+    out = sinks.scratch(spark, "segments")
+    customers(spark, sf).write.partitionBy("c_mktsegment").parquet(out)
+    held = spark.read.parquet(out).groupBy(_at(F.col("_metadata.file_path")).alias("at"), "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    files = readers.list_files(spark, out, [".parquet"]).select(_at(F.col("path")).alias("at"), "length")
+    return files.join(held, "at").groupBy("c_mktsegment").agg(F.sum("n").alias("rows"), F.bool_and(F.col("length") > 0).alias("has_size"))
 
 
-@query("src10_newest_files", "SELECT unnest([" + ", ".join(f"'{t}.parquet'" for t in ALL_TABLES if t.startswith(("c", "e"))) + "]) AS file_name")
+@query("src10_newest_files", "SELECT 2 - c_custkey % 3 + 1 AS position, c_custkey % 3 AS batch, count(*) AS rows FROM customer GROUP BY ALL")
 def src10(spark, sf):
-    return readers.newest_files(spark, sf, "[ce]*.parquet").select(file_name(F.col("path")).alias("file_name"))
+    """Batches written one after the other: the newest file first, checked against what the files hold."""
+    out = sinks.scratch(spark, "batches")
+    for batch in range(3):
+        customers(spark, sf).filter(F.col("c_custkey") % 3 == batch).write.mode("append").parquet(out)
+    held = spark.read.parquet(out).groupBy(_at(F.col("_metadata.file_path")).alias("at"), (F.col("c_custkey") % 3).alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+    listed = readers.newest_files(spark, out, "*.parquet").withColumn("place", F.monotonically_increasing_id())
+    batches = listed.select(_at(F.col("path")).alias("at"), "place").join(held, "at").groupBy("batch").agg(F.min("place").alias("place"), F.sum("n").alias("rows"))
+    in_order = batches.agg(F.array_sort(F.collect_list(F.struct("place", "batch", "rows"))).alias("b"))  # a row for each batch
+    return in_order.select(F.posexplode("b").alias("i", "b")).select((F.col("i") + 1).cast("bigint").alias("position"), "b.batch", "b.rows")
 
 
 @query("scl13_scl14_path_tags", sql_with(FILE_PATHS) + """SELECT o_orderkey, cycle AS level_1, scn AS level_2, run_id AS level_3, version AS level_4, version, run_id,

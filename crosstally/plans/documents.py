@@ -228,6 +228,23 @@ def win7(spark, sf):
     return ret.chat_context(table(spark, sf, "conversations"))
 
 
+@query("win7_chat_context_json", f"""WITH c AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' AND turn % 4 = 1
+  THEN 'Previous Answer: ' || translate(text, '#', ' ') || chr(10) || chr(10) || 'Previous Charts: Chart 1: 2 columns, 1 rows'
+  WHEN role = 'assistant' THEN 'Previous Answer: ' || {sql_strip("translate(text, '#{}', '')")} ELSE text END AS line FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, lead(role) OVER w AS next_role, lead(line) OVER w AS next_line FROM r WHERE back <= 10 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, string_agg('Previous Question: ' || text || chr(10) || chr(10) || next_line, chr(10) || chr(10) ORDER BY turn) AS context FROM k
+  WHERE i % 2 = 0 AND role = 'user' AND next_role = 'assistant' GROUP BY 1)
+SELECT conv_id, coalesce(context, '') AS context FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN p USING (conv_id)""")
+def win7_json(spark, sf):
+    """Every other answer comes as a JSON payload with a chart."""
+    c = table(spark, sf, "conversations")
+    payload_of = F.to_json(F.struct(F.translate("text", "#", " ").alias("answer"), F.array(F.struct(
+        F.array(F.lit("name"), F.lit("value")).alias("header"), F.array(F.array(F.lit("x"), F.lit("1"))).alias("rows"))).alias("chart_data")))
+    said = F.when(F.col("turn") % 4 == 1, payload_of).otherwise(F.translate("text", "#{}", ""))
+    return ret.chat_context(c.withColumn("text", F.when(F.col("role") == "assistant", said).otherwise(F.col("text"))), reply=ret.json_reply)
+
+
 # --- payloads -----------------------------------------------------------------------------------
 
 def supplier_rows(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys
-from ..functions.numbers import number_from_thousands, threshold_flag, to_number
+from ..functions.numbers import number_from_thousands, to_number, threshold_flag, to_number
 from ..operators import filters, measures, ranking, reconcile, schema
 from ..registry import query, table
 from ..sources import sinks
@@ -13,10 +13,8 @@ from .inputs import (COUNTERPARTIES, MATCHED_COLUMNS, SCORES, WATCH_LIST, counte
                      sql_strip, sql_with, watch_list)
 
 
-def matched(spark, sf: str, how: str = "inner", year: int | None = None) -> DataFrame:
+def matched(spark, sf: str, how: str = "inner") -> DataFrame:
     s = scores(spark, sf)
-    if year is not None:
-        s = s.filter(F.col("year") == year)
     s = s.withColumn("totalRevenue", number_from_thousands(F.col("totalRevenue")))
     return reconcile.match_scores(counterparties(spark, sf), s, how)
 
@@ -40,9 +38,9 @@ def jon1(spark, sf):
     return matched(spark, sf)
 
 
-@query("jon2_green_revenue_left", sql_with(sql_matched("LEFT JOIN").replace("LEFT JOIN scores s ON", "LEFT JOIN scores s ON s.year = 1996 AND")) + f"SELECT {MATCHED_COLUMNS} FROM matched")
+@query("jon2_green_revenue_left", sql_with(sql_matched("LEFT JOIN")) + f"SELECT {MATCHED_COLUMNS} FROM matched")
 def jon2(spark, sf):
-    return matched(spark, sf, "left", 1996)
+    return matched(spark, sf, "left")
 
 
 @query("jon8_compare_sides", PAIR + """, y AS (SELECT * FROM gr WHERE pure_play_flag = 'Y'),
@@ -84,11 +82,11 @@ def jon10(spark, sf):
 
 
 @query("jon11_unscored_counterparties", sql_with(COUNTERPARTIES, SCORES) + f"""SELECT counterparty_id, counterparty_name
-FROM counterparties c LEFT JOIN (SELECT DISTINCT {sql_key('"companyName"')} AS k FROM scores WHERE year = 1996) s
+FROM counterparties c LEFT JOIN (SELECT DISTINCT {sql_key('"companyName"')} AS k FROM scores WHERE "greenRevenuePercent" >= 50) s
   ON {sql_key('c.counterparty_name')} = s.k WHERE s.k IS NULL""")
 def jon11(spark, sf):
     c = reconcile.keyed(counterparties(spark, sf), "counterparty_name")
-    s = reconcile.keyed(scores(spark, sf).filter(F.col("year") == 1996), "companyName")
+    s = reconcile.keyed(scores(spark, sf).filter(to_number(F.col("greenRevenuePercent")) >= reconcile.FLAG_AT), "companyName")
     return reconcile.only_left(c, s).select("counterparty_id", "counterparty_name")
 
 
@@ -108,7 +106,8 @@ b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice +
         CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE o_orderpriority END AS label FROM orders WHERE o_orderkey % 89 <> 0),
 rec AS (SELECT coalesce(a.id, b.id) AS id, a.value AS left_value, b.value AS right_value, a.label AS left_label, b.label AS right_label,
     CASE WHEN a.id IS NULL THEN 'missing_left' WHEN b.id IS NULL THEN 'missing_right'
-         WHEN a.value IS DISTINCT FROM b.value OR a.label IS DISTINCT FROM b.label THEN 'mismatch' ELSE 'match' END AS outcome
+         WHEN a.value IS DISTINCT FROM b.value OR a.label IS DISTINCT FROM b.label THEN 'mismatch' ELSE 'match' END AS outcome,
+    concat_ws(',', CASE WHEN a.value IS DISTINCT FROM b.value THEN 'value' END, CASE WHEN a.label IS DISTINCT FROM b.label THEN 'label' END) AS differing
   FROM a FULL JOIN b ON a.id = b.id)"""
 
 
@@ -122,10 +121,11 @@ def reconciled(spark, sf):
     return reconcile.reconcile_tables(a, b, "id", ["value", "label"])
 
 
-@query("jon15_reconcile_rows", sql_with(RECONCILED) + "SELECT id, round(left_value, 2) AS left_value, round(right_value, 2) AS right_value, left_label, right_label, outcome FROM rec")
+@query("jon15_reconcile_rows", sql_with(RECONCILED) + "SELECT id, round(left_value, 2) AS left_value, round(right_value, 2) AS right_value, left_label, right_label, outcome, differing FROM rec")
 def jon15(spark, sf):
     return reconciled(spark, sf).select("id", F.round("left_value", 2).alias("left_value"),
-                                        F.round("right_value", 2).alias("right_value"), "left_label", "right_label", "outcome")
+                                        F.round("right_value", 2).alias("right_value"), "left_label", "right_label", "outcome",
+                                        F.array_join("differing", ",").alias("differing"))
 
 
 @query("jon15_reconcile_report", sql_with(RECONCILED) + "SELECT outcome, count(*) AS records FROM rec GROUP BY outcome")

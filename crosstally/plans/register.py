@@ -257,9 +257,9 @@ def snk6(spark, sf):
                         [F.desc("o_totalprice"), F.col("o_orderkey")], 2)
 
 
-@query("snk6_page_after", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 1000")
+@query("snk6_page_after", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 1000")
 def snk6_after(spark, sf):
-    return ranking.page_after(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 5000)
+    return ranking.page_after(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500)
 
 
 @query("scl21_page_count", "SELECT count(*) AS rows, ceil(count(*) / 1000.0)::BIGINT AS pages FROM lineitem")

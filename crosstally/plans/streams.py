@@ -22,6 +22,20 @@ def event_stream(spark, sf):
     return spark.readStream.schema(events(spark, sf).schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
+def sliced_stream(spark, sf, slices: int = 4):
+    """The events as files of consecutive time slices; every file becomes one micro-batch, the oldest first."""
+    e = events(spark, sf)
+    out = sinks.scratch(spark, "slices")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    if low is None:
+        e.write.parquet(out)
+    for i in range(slices if low is not None else 0):
+        start, end = low + (high - low) / slices * i, low + (high - low) / slices * (i + 1)
+        part = e.filter((F.col("ts") >= F.lit(start)) & ((F.col("ts") < F.lit(end)) if i < slices - 1 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(out)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
 def run_stream(spark, stream, mode="append"):
     out = sinks.scratch(spark, "stream")
     streams.run_once(stream, f"{out}/rows", f"{out}/checkpoint", mode)
@@ -75,10 +89,11 @@ def stm4(spark, sf):
 
 @query("stm4_latest_status_stream", STATUS)
 def stm4_stream(spark, sf):
-    log = event_stream(spark, sf).withColumnRenamed("props", "step")
+    """Four slices by time, each a micro-batch of its own."""
+    log = sliced_stream(spark, sf).withColumnRenamed("props", "step")
     out = sinks.scratch(spark, "status")
-    streams.upsert_once(streams.latest_status(log, ["user_id", "step"], "event_type", "ts", "event_id"), ["user_id", "step"], out, f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/v0")
+    streams.upsert_once(streams.latest_status(log, ["user_id", "step"], "event_type", "ts", "event_id"), ["user_id", "step"], f"{out}/table", f"{out}/checkpoint")
+    return streams.current_version(spark, f"{out}/table").drop("version", "bucket")
 
 
 SESSIONS = """, s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 3600 SECONDS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -119,6 +134,15 @@ def stm1(spark, sf):
         "o_orderkey", "cycle", "scenario", "run_id", "table_name", "partitions", "description")
 
 
-@query("stm1_arrivals_stream", "SELECT unnest(['customer.parquet', 'conversations.parquet']) AS file_name")
+@query("stm1_arrivals_stream", sql_with(FILE_PATHS) + """SELECT DISTINCT cycle, scn AS scenario, run_id, 'cycle,scenario,run_id' AS partitions,
+'Balance sheet data for ' || scn || ' scenario, ' || run_id || ', cycle ' || cycle AS description, true AS dated FROM paths""")
 def stm1_stream(spark, sf):
-    return run_stream(spark, streams.arrived_names(streams.arriving_files(spark, sf, "c*.parquet"))).select("file_name")
+    """Orders written into folders by cycle, scenario and run; every file that arrives gives its catalogue row."""
+    out = sinks.scratch(spark, "arrivals")
+    parts = F.split("path", "/")
+    rows = file_paths(spark, sf).select("o_orderkey", "o_totalprice", *[F.get(parts, F.lit(i)).alias(n) for i, n in ((2, "a"), (3, "b"), (4, "c"))])
+    rows.hint("rebalance", "a", "b", "c").write.partitionBy("a", "b", "c").parquet(out)
+    files = streams.arriving_files(spark, out, "*.parquet")
+    plain = files.withColumn("path", F.regexp_replace("path", "^.*/a=([^/]*)/b=([^/]*)/c=([^/]*)/([^/]*)$", "$1/$2/$3/$4"))
+    found = run_stream(spark, streams.arrival_catalogue(plain, 0, 1, 2))
+    return found.groupBy("cycle", "scenario", "run_id", "partitions", "description").agg(F.bool_and(F.col("creation_date").isNotNull()).alias("dated"))

@@ -16,13 +16,13 @@ SETTINGS = {
 }
 
 
-def builder(app: str = "crosstally", **more: str) -> SparkSession.Builder:
-    """A session builder with the settings above; further settings as keyword arguments with ``_`` for ``.``.
+def builder(app: str = "crosstally", more: dict[str, str] | None = None) -> SparkSession.Builder:
+    """A session builder with the settings above and ``more`` of them.
 
     Set ``spark.sql.shuffle.partitions`` to two or three times the cluster's cores (adaptive execution
     merges what is too many) and ``spark.checkpoint.dir`` to a folder all executors share.
     """
     b = SparkSession.builder.appName(app)
-    for k, v in (SETTINGS | {k.replace("_", "."): v for k, v in more.items()}).items():
+    for k, v in (SETTINGS | (more or {})).items():
         b = b.config(k, v)
     return b

@@ -11,9 +11,9 @@ from ..operators.schema import clean_header, require_columns, trim_all
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt to as many partitions as the session asks for in ``crosstally.spread``; as they come if it
+    """Rows dealt to as many partitions as the session asks for in ``spark.crosstally.spread``; as they come if it
     asks for none. For costly work per row on tables of one row group, which Spark reads in one task."""
-    n = df.sparkSession.conf.get("crosstally.spread", None)
+    n = df.sparkSession.conf.get("spark.crosstally.spread", None)
     return df.repartition(int(n), *keys) if n else df
 
 

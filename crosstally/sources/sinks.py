@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.joins import attach
 from ..operators.schema import q
@@ -48,17 +48,13 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("cycle", "scenario", "run_id"), sep: str = "|",
-                      files_per_partition: int = 1, spread: str | None = None) -> None:
+def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("cycle", "scenario", "run_id"), sep: str = "|") -> None:
     """Hive-style folders of delimited files.
 
-    Rows are first brought together by folder so that a task does not open every folder. Large
-    folders need ``files_per_partition`` > 1: rows are then spread by the hash of ``spread``.
+    Rows are first brought together by folder so that a task does not open every folder; adaptive
+    rebalancing then splits a large folder by size into several tasks and files.
     """
-    keys: list[Column] = [q(c) for c in by]
-    if files_per_partition > 1:
-        keys.append(F.pmod(F.xxhash64(q(spread) if spread else F.struct(*df.columns)), F.lit(files_per_partition)))
-    (df.repartition(*keys).write.mode("overwrite").partitionBy(*by).option("header", True).option("sep", sep).csv(path))
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).option("header", True).option("sep", sep).csv(path)
 
 
 def partial_update(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.paths import file_name, path_components_by_position
+from ..functions.paths import path_components_by_position
 
 # Alarm period, breaching periods in a row, session gap in seconds;
 # default columns and partitions of a catalogue row.
@@ -43,10 +43,6 @@ def arrival_catalogue(files: DataFrame, cycle: int = 4, scenario: int = 6, run:
         F.coalesce("run_id", F.lit("unknown")), F.lit(", cycle "), F.coalesce("cycle", F.lit("unknown"))))
 
 
-def arrived_names(files: DataFrame) -> DataFrame:
-    return files.select(file_name(F.col("path")).alias("file_name"), "length")
-
-
 def period_figures(events: DataFrame, metric: str, value: str, ts: str = "ts", seconds: int = PERIOD_SECONDS,
                    lateness: str = LATENESS) -> DataFrame:
     """Sum, mean and number of values per metric and period."""
@@ -118,15 +114,50 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append")
      .outputMode(mode).trigger(availableNow=True).start().awaitTermination())
 
 
-def upsert_once(stream: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:
-    """Keep the newest row per key of an update-mode stream: each micro-batch writes a new version of
-    the table from the previous version and its changes. A batch that is run again writes the same version."""
+def current_version(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """The table that :func:`upsert_once` keeps: of every bucket its newest version (before a given one)."""
+    every = spark.read.option("basePath", out).parquet(f"{out}/version=*")
+    every = every if before is None else every.filter(F.col("version") < before)
+    # A row for each bucket: few, whatever the table's size.
+    newest = every.groupBy("bucket").agg(F.max("version").alias("version"))
+    return every.join(newest, ["bucket", "version"], "left_semi")
+
+
+def upsert_once(stream: DataFrame, keys: list[str], out: str, checkpoint: str, buckets: int = 16) -> None:
+    """Keep the newest row per key of an update-mode stream, in buckets by the hash of the key.
+
+    Each micro-batch writes a new version of the buckets it touches, from their last version and its
+    changes; the other buckets stay. Of every bucket the two newest versions are kept, so a batch that is run
+    again finds what it started from and writes the same version. Read with :func:`current_version`.
+    """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number > 0:
-            old = spark.read.parquet(f"{out}/v{number - 1}")
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        versions = written_versions(spark, out)
+        if any(v < number for v, _ in versions):
+            touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets``
+            old = current_version(spark, out, number).filter(F.col("bucket").isin(*touched)).drop("version")
             batch = old.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        batch.write.mode("overwrite").parquet(f"{out}/v{number}")
+        batch.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/version={number}")
+        drop_versions(spark, out)
+
+    Path = stream.sparkSession._jvm.org.apache.hadoop.fs.Path
+
+    def folders(spark: SparkSession, at: str, name: str) -> list[int]:
+        path = Path(at)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        return [int(n.removeprefix(name)) for n in names if n.startswith(name)]
+
+    def written_versions(spark: SparkSession, at: str) -> list[tuple[int, int]]:
+        return [(v, b) for v in folders(spark, at, "version=") for b in folders(spark, f"{at}/version={v}", "bucket=")]
+
+    def drop_versions(spark: SparkSession, at: str) -> None:
+        versions = written_versions(spark, at)
+        for bucket in {b for _, b in versions}:
+            for old in sorted(v for v, b in versions if b == bucket)[:-2]:
+                path = Path(f"{at}/version={old}/bucket={bucket}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update")
      .trigger(availableNow=True).start().awaitTermination())

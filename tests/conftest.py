@@ -2,24 +2,21 @@ import os
 import sys
 
 import pytest
-from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from crosstally.session import builder  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = (
-        SparkSession.builder.master("local[8]").appName("crosstally-tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
+    session = builder("crosstally-tests", {
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.ui.enabled": "false",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Tiny inputs: compiling each plan would cost more than running it.
-        .config("spark.sql.codegen.wholeStage", "false")
-        .getOrCreate()
-    )
+        "spark.sql.codegen.wholeStage": "false",
+    }).master("local[8]").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -322,6 +322,14 @@ def test_profile_per_file(spark, tmp_path):
     spark.range(5).write.parquet(base)
     spark.range(100, 103).write.mode("append").parquet(base)
     got = catalogue.profile_columns(spark.read.parquet(base), F.col("_metadata.file_name")).collect()
+    # NaN in an early batch must not hide later numbers.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        numbers = [float("nan")] + [100.0 + i for i in range(9)] + [1.0, 2.0, 3.0]
+        (nan,) = catalogue.profile_columns(spark.createDataFrame([(x,) for x in numbers], "v double").coalesce(1)).collect()
+        assert nan["sample_values"] == ["1.0", "2.0", "3.0", "100.0", "101.0"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     assert sorted(v for r in got for v in r["sample_values"]) == sorted(["0", "1", "2", "3", "4", "100", "101", "102"])
     assert len(got) > 1
 

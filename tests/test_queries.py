@@ -14,10 +14,14 @@ def con():
     return duck(SF)
 
 
+# At this scale these have no rows on either side.
+MAY_BE_EMPTY = set()
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     ok, note = compare(spark, con, SF, name)
-    assert ok or note == "0 rows", note
+    assert ok or (note == "0 rows" and name in MAY_BE_EMPTY), note
 
 
 def test_entry(spark):

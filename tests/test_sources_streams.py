@@ -73,7 +73,7 @@ def test_partitioned_layout_prunes(spark, tmp_path):
     d = spark.createDataFrame([(i, float(i), "c1", "adverse" if i % 2 else "baseline", f"run{i % 3}") for i in range(30)],
                               "id int, v double, cycle string, scenario string, run_id string")
     out = str(tmp_path / "t")
-    sinks.write_partitioned(d, out, files_per_partition=2, spread="id")
+    sinks.write_partitioned(d, out)
     back = readers.read_partitioned(spark, out, "id int, v double")
     picked = back.filter((F.col("scenario") == "adverse") & F.col("run_id").isin("run1"))
     plan = picked._jdf.queryExecution().executedPlan().toString()
@@ -180,7 +180,15 @@ def test_status_upsert(spark, tmp_path):
     land(events(spark, [(5, "a", 7.0)]), path)
     stream = streams.latest_status(stream_of(spark, path), ["metric"], "value")
     streams.upsert_once(stream, ["metric"], out, cp)
-    assert rows(spark.read.parquet(f"{out}/v1").select("metric", "status")) == [("a", 7.0), ("b", 1.0)]
+    assert rows(streams.current_version(spark, out).select("metric", "status")) == [("a", 7.0), ("b", 1.0)]
+    # Only the bucket of the changed key has a second version; old versions go.
+    assert {r[0] for r in streams.current_version(spark, out).select("version").collect()} == {0, 1}
+    for n in range(3):
+        land(events(spark, [(10 + n, "a", 10.0 + n)]), path)
+        streams.upsert_once(streams.latest_status(stream_of(spark, path), ["metric"], "value"), ["metric"], out, cp)
+    assert rows(streams.current_version(spark, out).select("metric", "status")) == [("a", 12.0), ("b", 1.0)]
+    kept = [p.parent.name for p in (tmp_path / "out").glob("version=*/bucket=*") if list(p.glob("*.parquet"))]
+    assert len(kept) == 3
 
 
 def test_repeats_within_time(spark, tmp_path):
