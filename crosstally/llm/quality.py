@@ -1,6 +1,6 @@
 """Quality classifier by co-training of two views of a document.
 
-The text view sees the words: each token's letters and what stands around them. The metadata view sees where
+The text view sees the words: each token's letters, what stands around them, and tokens that repeat the one before. The metadata view sees where
 the page is from (source, language, declared length) and its layout (lines and the shares of capitals, digits,
 marks, white space). Both are naive Bayes classifiers over hashed features. They start from a labelled sample;
 in each round either one labels the unlabelled documents it is most sure of, in the proportion of the
@@ -15,6 +15,8 @@ fixed size as broadcast, without a shuffle.
 from __future__ import annotations
 
 import re
+from itertools import islice
+from operator import eq
 from typing import NamedTuple
 from zlib import crc32
 
@@ -28,6 +30,8 @@ from .samples import keys_by_hash, rows_of
 BUCKETS = 1 << 14
 REMEMBERED = 200_000
 TOKEN = re.compile(r"(\W*)(.*?)(\W*)", re.DOTALL)
+# A bucket of its own for repeated tokens.
+REPEAT = BUCKETS
 META = ("source", "lang", "n_chars")
 
 
@@ -45,6 +49,11 @@ def token_buckets(token: str) -> tuple[int, int]:
     return crc32(body.lower().encode("utf-8", "replace")) % BUCKETS, crc32(f"{before}|{case}|{after}".encode("utf-8", "replace")) % BUCKETS
 
 
+def repeats(tokens: list[str]) -> int:
+    """Tokens that repeat the one before."""
+    return sum(map(eq, tokens, islice(tokens, 1, None)))
+
+
 def layout(text: str | None, source, lang, n_chars) -> list[int]:
     """Buckets of the metadata view, one for each property."""
     data = np.bincount(np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8), minlength=256)
@@ -63,8 +72,8 @@ class Bags:
 
     def __init__(self, indices: list, counts: list):
         self.row = np.repeat(np.arange(len(indices)), [len(i) for i in indices])
-        self.index = np.concatenate([np.asarray(i, np.int64) for i in indices]) if indices else np.zeros(0, np.int64)
-        self.count = np.concatenate([np.asarray(c, float) for c in counts]) if counts else np.zeros(0)
+        self.index = np.concatenate([np.asarray(i, np.int32) for i in indices]) if indices else np.zeros(0, np.int32)
+        self.count = np.concatenate([np.asarray(c, np.float32) for c in counts]) if counts else np.zeros(0, np.float32)
         self.size = np.maximum(np.bincount(self.row, self.count, len(indices)), 1)
 
     def weights(self, rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -73,7 +82,7 @@ class Bags:
         label = np.full(len(self.size), -1)
         label[rows] = labels
         part = self.count / self.size[self.row]
-        good, bad = (np.bincount(self.index, part * (label[self.row] == k), BUCKETS) + 0.01 for k in (1, 0))
+        good, bad = (np.bincount(self.index, part * (label[self.row] == k), BUCKETS + 1) + 0.01 for k in (1, 0))
         return np.log(good / good.sum()) - np.log(bad / bad.sum())
 
     def margins(self, weights: np.ndarray) -> np.ndarray:
@@ -104,7 +113,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(text: Bags, meta: Bags, label: np.ndarray, calibrates: np.ndarray, rounds: int = 5, each_round: int = 100) -> Model | None:
+def fit(text: Bags, meta: Bags, label: np.ndarray, calibrates: np.ndarray, rounds: int = 5, each_round: int = 60) -> Model | None:
     """Co-train on documents with ``label`` 1, 0 or -1 (unknown); labelled ones in ``calibrates`` train no view.
     None without a label of either kind."""
     known = np.flatnonzero((label >= 0) & ~calibrates)
@@ -144,17 +153,18 @@ def features(docs: DataFrame, text: str) -> DataFrame:
         for frame in batches:
             out = []
             for key, label, body, *meta in frame.itertuples(index=False, name=None):
-                buckets = np.array([b for t in (body or "").split() for b in token_buckets(t)], np.int64)
+                tokens = (body or "").split()
+                buckets = np.array([b for t in tokens for b in token_buckets(t)] + [REPEAT] * repeats(tokens), np.int64)
                 index, count = np.unique(buckets, return_counts=True)
-                out.append((key, label, index, count.astype(float), layout(body, *meta)))
+                out.append((key, label, index, count.astype(np.float32), layout(body, *meta)))
             yield pd.DataFrame(out, columns=["key", "label", "text_index", "text_count", "meta_index"])
 
     return docs.select("key", "label", text, *META).mapInPandas(
-        run, "key bigint, label int, text_index array<int>, text_count array<double>, meta_index array<int>")
+        run, "key bigint, label int, text_index array<int>, text_count array<float>, meta_index array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", usable: Column | None = None,
-          labelled: int = 3000, pool: int = 3000) -> Model | None:
+          labelled: int = 2000, pool: int = 2000) -> Model | None:
     """Fit on at most ``labelled`` labelled and ``pool`` unlabelled documents. ``docs`` has the columns of
     documents; ``usable`` (of the key) keeps labels out of the training. Of contradicting labels the majority
     counts (half: good); null keys and labels teach nothing."""
@@ -169,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     got = features(rows, text).toPandas().sort_values(["key", "label"], kind="stable")
     if not len(got):
         return None
-    ones = [np.ones(len(i)) for i in got.meta_index]
+    ones = [np.ones(len(i), np.float32) for i in got.meta_index]
     calibrates = np.array([crc32(str(i).encode()) % 4 == 3 for i in got.key])
     return fit(Bags(got.text_index.tolist(), got.text_count.tolist()), Bags(got.meta_index.tolist(), ones), got.label.to_numpy(), calibrates)
 
@@ -192,7 +202,8 @@ class Scorer:
         found = list(map(self.known.get, tokens))
         if None in found:
             found = [self._weigh(t) if w is None else w for t, w in zip(tokens, found)]
-        return sum(found) / max(2 * len(found), 1)
+        again = repeats(tokens)
+        return (sum(found) + again * float(self.model.text[REPEAT])) / max(2 * len(found) + again, 1)
 
     def meta_margin(self, *properties) -> float:
         buckets = layout(*properties)
