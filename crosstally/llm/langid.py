@@ -83,7 +83,7 @@ def _backed_off(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(visits == 0, shorter, np.where(counts > 0, counts / total, kinds / total * shorter))
 
 
-def build(counts: pd.DataFrame, most_bytes: int = 48 << 20) -> Model | None:
+def build(counts: pd.DataFrame, most_bytes: int = 32 << 20) -> Model | None:
     """Frozen code lengths from the counts; None without counts. Contexts of two bytes and fewer are all kept,
     those of three by how often they were visited, as far as the table stays within ``most_bytes``."""
     if not len(counts):
@@ -145,7 +145,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     is left."""
     labelled = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").alias("lang")).dropna()
     sample = rows_of(labelled, keys_by_hash(labelled, docs_per_language, within="lang"), "key", "lang")
-    return build(count_contexts(sample.groupBy("key", "lang").agg(F.min("text").alias("text"))))
+    # The sample is of a fixed size; counted in few tasks, hardly any count leaves more than one of them.
+    return build(count_contexts(sample.groupBy("key", "lang").agg(F.min("text").alias("text")).coalesce(4)))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
