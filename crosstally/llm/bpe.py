@@ -30,7 +30,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # The same for texts of ASCII characters.
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 SEGMENT = 1 << 18
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def byte_letters() -> list[str]:

@@ -17,6 +17,8 @@ however many documents there are.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -79,6 +81,7 @@ def _syndrome(words: np.ndarray) -> np.ndarray:
     return rest
 
 
+@cache
 def error_patterns() -> tuple[np.ndarray, np.ndarray]:
     """For each of the 2,048 syndromes: the pattern of at most three bits, and all patterns of at most four
     bits (up to six, the first one repeated where there are fewer)."""
