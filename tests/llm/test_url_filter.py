@@ -27,7 +27,7 @@ URLS = [None, "", "no scheme", "http://", "http://ORG", "http://org/", "HTTP://A
 def test_against_brute_force(spark):
     rows = [(i, u, "h", True) for i, u in enumerate(URLS)] + [(None, URLS[6], "h", None), (4, URLS[4], None, False)]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, k0 boolean")
-    for rules in (RULES, RULES + [Rule("block", "org", "/"), Rule("block", "com", "")], [], [Rule("block", "a.b", "/")]):
+    for rules in (RULES, RULES + [Rule("block", "org", "/"), Rule("block", "com", "")], []):
         got = sorted(map(tuple, url_filter.judge(pages, rules).collect()), key=repr)
         assert got == sorted([(i, *brute(u, rules)) for i, u, *_ in rows], key=repr)
 
