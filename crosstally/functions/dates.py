@@ -20,10 +20,6 @@ def file_stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd_HHmmss")
 
 
-def page_count(rows: Column, per_page: int) -> Column:
-    return F.ceil(rows / F.lit(per_page))
-
-
 def reporting_calendar(year: Column, quarter: Column) -> dict[str, Column]:
     """The 29 reporting-period attributes of a (year, quarter).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .keys import strip
-from .numbers import money_digits, number_from_money, to_number
+from .numbers import money_digits, number_from_money
 
 CHART_TYPE = "struct<header:array<string>,rows:array<array<string>>>"
 PAYLOAD_TYPE = (
@@ -85,7 +85,3 @@ def clean_charts_typed(charts: Column) -> Column:
             F.when(number_from_money(v).isNotNull(), money_digits(v)).otherwise(v)).otherwise(v)))
 
     return _rebuilt(charts, rows)
-
-
-def chart_numbers(row: Column) -> Column:
-    return to_number(F.element_at(row, -1))
