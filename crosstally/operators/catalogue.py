@@ -113,22 +113,25 @@ def catalogue_rows(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
     A dataset that cannot be opened, or whose files break while they are read, keeps a row with the error text;
     one without any value keeps a row without columns.
     """
-    found, failed = [], {}
+    found, failed = {}, {}
     for path, fmt in datasets.items():
         try:
-            found.append(_found(_opened(spark, path, fmt, ignoreCorruptFiles=True), F.lit(path)))
+            found[path] = _found(_opened(spark, path, fmt, ignoreCorruptFiles=False), F.lit(path))
         except PySparkException as e:
             failed[path] = str(e).split("\n")[0]
     rows = spark.createDataFrame([], "path string, column string, data_type string, sample_values array<string>")
+    profile = lambda parts: materialise(_profile(reduce(DataFrame.unionByName, parts)).withColumnRenamed("file", "path"), "profiles")
     if found:
-        rows = materialise(_profile(reduce(DataFrame.unionByName, found)).withColumnRenamed("file", "path"), "profiles")
-    silent = set(datasets) - set(failed) - {r[0] for r in rows.select("path").distinct().collect()}
-    for path in sorted(silent):  # broken while read, or empty: a look without tolerance tells
         try:
-            _opened(spark, path, datasets[path]).write.format("noop").mode("overwrite").save()
-            failed[path] = None
-        except Exception as e:
-            failed[path] = str(e).split("\n")[0]
+            rows = profile(found.values())
+        except Exception:  # some dataset breaks while it is read: one by one, to tell which
+            for path, part in found.items():
+                try:
+                    rows = rows.unionByName(profile([part]))
+                except Exception as e:
+                    failed[path] = str(e).split("\n")[0]
+    silent = set(datasets) - set(failed) - {r[0] for r in rows.select("path").distinct().collect()}
+    failed |= dict.fromkeys(sorted(silent))  # read, and without any value
     errors = spark.createDataFrame(list(failed.items()), "path string, error string")
     return with_path_tags(rows.unionByName(errors, allowMissingColumns=True), "path").withColumn("file_type", file_extension(F.col("path")))
 

@@ -317,6 +317,18 @@ def test_catalogue_errors_and_samples(spark, tmp_path):
     assert "gone.parquet" in got["gone.parquet", None]["error"]
 
 
+def test_catalogue_reports_a_dataset_with_a_broken_file(spark, tmp_path):
+    good, bad, empty = (str(tmp_path / n) for n in ("good.parquet", "bad.parquet", "empty.parquet"))
+    spark.range(5).write.parquet(good)
+    spark.range(5).coalesce(1).write.parquet(bad)
+    spark.range(0).write.parquet(empty)
+    (tmp_path / "bad.parquet" / "zz.parquet").write_bytes(b"PAR1 this is not a parquet file PAR1")
+    got = {r["file_name"]: r for r in catalogue.catalogue_rows(spark, dict.fromkeys((good, bad, empty), "parquet")).collect()}
+    assert got["bad.parquet"]["error"] and got["bad.parquet"]["column"] is None
+    assert got["good.parquet"]["error"] is None and got["good.parquet"]["sample_values"] == ["0", "1", "2", "3", "4"]
+    assert got["empty.parquet"]["error"] is None and got["empty.parquet"]["column"] is None
+
+
 def test_profile_per_file(spark, tmp_path):
     base = str(tmp_path / "d")
     spark.range(5).write.parquet(base)
