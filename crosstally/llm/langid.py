@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.sinks import materialise
 from .samples import keys_by_hash, rows_of
 
 UNDETERMINED = "und"
@@ -143,33 +144,61 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """Learn from at most ``docs_per_language`` whole texts of each language, those with the smallest hash of the
     key (of repeated keys the smallest text). Rows without text, key or language teach nothing; None if nothing
     is left."""
+    sample = _sample(docs, text, lang, key, docs_per_language)
+    # The sample is of a fixed size; counted in few tasks, hardly any count leaves more than one of them.
+    return build(count_contexts(sample.coalesce(4)))
+
+
+def _sample(docs: DataFrame, text: str, lang: str, key: str, docs_per_language: int) -> DataFrame:
     labelled = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").alias("lang")).dropna()
     sample = rows_of(labelled, keys_by_hash(labelled, docs_per_language, within="lang"), "key", "lang")
-    # The sample is of a fixed size; counted in few tasks, hardly any count leaves more than one of them.
-    return build(count_contexts(sample.groupBy("key", "lang").agg(F.min("text").alias("text")).coalesce(4)))
+    return sample.groupBy("key", "lang").agg(F.min("text").alias("text"))
+
 
+def highest_rates(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = 500) -> dict[str, float]:
+    """For each language of ``train``'s sample: the most bits a byte that a text of it may need.
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the predicted language and its score (0 to 1) to every row; only the text is looked at.
+    Each half of the sample is coded by what the other half teaches; the limit is the highest rate met, and eight
+    at least: a text beyond it is told better by plain bytes than by the language. A language without texts in
+    both halves cannot be measured and has no entry.
+    """
+    half = (F.crc32(F.col("key").cast("string").cast("binary")) % 2).alias("half")
+    sample = materialise(_sample(docs, text, lang, key, docs_per_language).select("key", "lang", "text", half), "language-sample")
+    rates: dict[str, float] = {}
+    for n in (0, 1):
+        model = build(count_contexts(sample.filter(F.col("half") != n).coalesce(4)))
+        coded = predict(sample.filter(F.col("half") == n), model, into=("__lang", "__score"), rate="__rate")
+        for name, most in coded.groupBy("lang").agg(F.max("__rate")).collect():
+            if model and name in model.languages and most is not None:
+                rates[name] = max(most, rates.get(name, 8.0))
+    return rates
+
+
+def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score"), rate: str | None = None) -> DataFrame:
+    """Adds the predicted language and its score (0 to 1) to every row; only the text is looked at. ``rate`` names
+    a further column: bits a byte of the text in that language, null for ``und``.
 
     Null, empty and letterless texts (and all texts without a model) are ``und`` with score 0. Ties go to the
     language that sorts first. Repeated rows get the same answer.
     """
     body = F.col(f"`{text}`").cast("string")
     if model is None:
-        return docs.withColumns({into[0]: F.lit(UNDETERMINED), into[1]: F.lit(0.0)})
+        none = {rate: F.lit(None).cast("double")} if rate else {}
+        return docs.withColumns({into[0]: F.lit(UNDETERMINED), into[1]: F.lit(0.0)} | none)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, rate double")
     def best(texts: pd.Series) -> pd.DataFrame:
         bits = code_lengths(texts.tolist(), shared.value)
         least = bits.min(axis=1, keepdims=True)
         names = np.array(shared.value.languages, object)[bits.argmin(axis=1)]
-        return pd.DataFrame({"lang": names, "score": 1 / np.exp2(np.maximum(least - bits, -1000)).sum(axis=1)})
+        size = np.array([max(1, len(t.encode("utf-8", "surrogatepass"))) if t else 1 for t in texts])
+        return pd.DataFrame({"lang": names, "score": 1 / np.exp2(np.maximum(least - bits, -1000)).sum(axis=1), "rate": least[:, 0] / size})
 
     has_letter = F.coalesce(body.rlike(LETTER), F.lit(False))
     found = docs.withColumns({"__found": best(body), "__letter": has_letter})
-    return found.withColumns({
+    more = {rate: F.when(F.col("__letter"), F.col("__found.rate"))} if rate else {}
+    return found.withColumns(more | {
         into[0]: F.when(F.col("__letter"), F.col("__found.lang")).otherwise(UNDETERMINED),
         into[1]: F.when(F.col("__letter"), F.col("__found.score")).otherwise(0.0)}).drop("__found", "__letter")
 
