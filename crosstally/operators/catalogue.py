@@ -7,7 +7,6 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.numbers import no_nan
@@ -107,6 +106,11 @@ def _opened(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:
     return spark.read.options(**options).format(fmt).load(path)
 
 
+def _reason(e: Exception) -> str:
+    """First line of an error; of one that Java threw, without the line that names the call."""
+    return str(getattr(e, "java_exception", e)).split("\n")[0]
+
+
 def catalogue_rows(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
     """Catalogue of datasets ``{path: format}``: path tags, name, type, column profile.
 
@@ -117,8 +121,8 @@ def catalogue_rows(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
     for path, fmt in datasets.items():
         try:
             found[path] = _found(_opened(spark, path, fmt, ignoreCorruptFiles=False), F.lit(path))
-        except PySparkException as e:
-            failed[path] = str(e).split("\n")[0]
+        except Exception as e:  # a broken footer is no PySparkException
+            failed[path] = _reason(e)
     rows = spark.createDataFrame([], "path string, column string, data_type string, sample_values array<string>")
     profile = lambda parts: materialise(_profile(reduce(DataFrame.unionByName, parts)).withColumnRenamed("file", "path"), "profiles")
     if found:
@@ -129,7 +133,7 @@ def catalogue_rows(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
                 try:
                     rows = rows.unionByName(profile([part]))
                 except Exception as e:
-                    failed[path] = str(e).split("\n")[0]
+                    failed[path] = _reason(e)
     silent = set(datasets) - set(failed) - {r[0] for r in rows.select("path").distinct().collect()}
     failed |= dict.fromkeys(sorted(silent))  # read, and without any value
     errors = spark.createDataFrame(list(failed.items()), "path string, error string")

@@ -318,13 +318,15 @@ def test_catalogue_errors_and_samples(spark, tmp_path):
 
 
 def test_catalogue_reports_a_dataset_with_a_broken_file(spark, tmp_path):
-    good, bad, empty = (str(tmp_path / n) for n in ("good.parquet", "bad.parquet", "empty.parquet"))
+    good, bad, empty, torn = (str(tmp_path / n) for n in ("good.parquet", "bad.parquet", "empty.parquet", "torn.parquet"))
     spark.range(5).write.parquet(good)
     spark.range(5).coalesce(1).write.parquet(bad)
     spark.range(0).write.parquet(empty)
+    (tmp_path / "torn.parquet").write_bytes(b"no footer at all, whatever the name says")
     (tmp_path / "bad.parquet" / "zz.parquet").write_bytes(b"PAR1 this is not a parquet file PAR1")
-    got = {r["file_name"]: r for r in catalogue.catalogue_rows(spark, dict.fromkeys((good, bad, empty), "parquet")).collect()}
+    got = {r["file_name"]: r for r in catalogue.catalogue_rows(spark, dict.fromkeys((good, bad, empty, torn), "parquet")).collect()}
     assert got["bad.parquet"]["error"] and got["bad.parquet"]["column"] is None
+    assert got["torn.parquet"]["error"] and "An error occurred" not in got["torn.parquet"]["error"]
     assert got["good.parquet"]["error"] is None and got["good.parquet"]["sample_values"] == ["0", "1", "2", "3", "4"]
     assert got["empty.parquet"]["error"] is None and got["empty.parquet"]["column"] is None
 
