@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry import table
 from ..sources.sinks import materialise, scratch
-from . import bpe, chat, decontam, langid, quality, sharding, simhash, topk, url_filter, warc
+from . import bpe, chat, decontam, langid, quality, runs, sharding, simhash, topk, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,3 +139,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"), usable=~langid.held_out("key"))
     scored = quality.predict(docs, model).withColumn("held_out", langid.held_out())
     return scored.select("doc_id", "held_out", "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("keep"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, where every tenth text (by crc32 of the id) repeats some of its words to its end."""
+    words, h = F.array_remove(F.split("text", r"[ \t-\r]+"), ""), F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    planted = docs.filter(h % 10 == 0).select("doc_id", words.alias("w"), F.size(words).alias("n"), F.floor(h / 10).alias("g"))
+    planted = planted.filter("n > 0").withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    planted = planted.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    changed = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), again), F.lit(1), F.col("n")), " ")
+    as_they_are = docs.filter((h % 10 != 0) | h.isNull() | F.col("text").isNull() | (F.size(words) == 0))
+    return planted.select("doc_id", changed.alias("text")).union(as_they_are.select("doc_id", "text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.with_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # Greatest exponent by cross multiplication; runs come by start, then period, so the first of equal ones stays.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda m, r: F.when(r.length * m.period > m.length * r.period, r).otherwise(m))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

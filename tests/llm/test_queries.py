@@ -16,7 +16,7 @@ def test_equals_sql(spark, name):
 
 
 def test_all_operators_and_the_pipeline_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(SQL) <= set(entry.oracle_sql())
 
