@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry import table
 from ..sources.sinks import materialise, scratch
-from . import bpe, chat, decontam, langid, quality, runs, sharding, simhash, topk, url_filter, warc
+from . import bpe, chat, decontam, langid, prefix_trie, quality, runs, sharding, simhash, topk, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -162,3 +162,27 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("best", best).select(
         "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_prefix_trie", r"""
+    WITH t AS (SELECT conv_id, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS k FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, count(*) AS n, xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT),
+              lambda x, y: list_reduce([xor(x, y)] || range(8)::UBIGINT[], lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)::BIGINT % 9 AS h FROM t GROUP BY conv_id),
+    b AS (SELECT c.conv_id, c.h, c.conv_id - c.conv_id % 5 AS base, coalesce(least(c.h, o.n), 0) AS m FROM c LEFT JOIN c o ON o.conv_id = c.conv_id - c.conv_id % 5),
+    r AS (SELECT b.conv_id, t.k AS d, t.text, t.id FROM b JOIN t ON t.conv_id = b.base WHERE t.k <= b.h
+          UNION ALL SELECT b.conv_id, b.m + t.k - b.h, t.text, t.id FROM b JOIN t USING (conv_id) WHERE t.k > b.h),
+    p AS (SELECT conv_id, d, text, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS path FROM r
+          UNION ALL SELECT conv_id, 0, '', '' FROM b),
+    n AS (SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(strlen(text)) AS bytes FROM p GROUP BY path, d),
+    kids AS (SELECT path[:64 * (depth - 1)] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+    full_n AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+    below AS (SELECT a.path, sum((x.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((x.n_convs - 1) * x.bytes)::BIGINT AS saved_tokens
+              FROM n a JOIN full_n x ON starts_with(x.path, a.path) GROUP BY a.path),
+    ends AS (SELECT path, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(path, d) AS path FROM p GROUP BY conv_id) GROUP BY path)
+    SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM full_n f JOIN below USING (path) LEFT JOIN n u ON f.depth > 0 AND u.path = f.path[:64 * (f.depth - 1)] LEFT JOIN ends ON ends.path = f.path""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = materialise(prefix_trie.turn_lists(table(spark, sf_dir, "conversations")), "turn-lists")
+    head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    return prefix_trie.nodes(prefix_trie.with_shared_heads(own, 5, head, 8))
