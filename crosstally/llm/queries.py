@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry import table
 from ..sources.sinks import materialise, scratch
-from . import bpe, chat, decontam, langid, prefix_trie, quality, runs, sharding, simhash, topk, url_filter, warc
+from . import bpe, chat, decontam, langid, lm, prefix_trie, quality, runs, sharding, simhash, topk, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -186,3 +186,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = materialise(prefix_trie.turn_lists(table(spark, sf_dir, "conversations")), "turn-lists")
     head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
     return prefix_trie.nodes(prefix_trie.with_shared_heads(own, 5, head, 8))
+
+
+@query("op13_lm_scoring")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.train(docs.filter(~held_out))
+    return lm.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
