@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # The same for texts of ASCII characters.
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
+# The same for texts of Latin letters: characters up to U+024F, where all from U+00C0 on but two are letters.
+LATIN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9²³¹¼-¾]+| ?[^\t-\r \x85\xa0A-Za-z0-9ªµº²³¹¼-¾À-ÖØ-öø-ɏ]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"""
 SEGMENT = 1 << 18
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -53,51 +55,60 @@ class Tokenizer:
             self.bytes_of[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
         self.numbers = list(map(str, range(len(self.bytes_of))))
         self.first = [vocabulary[c] for c in letters]
-        # By rank: the two symbols and what they become; by pair (in one number): the rank.
+        # By rank: what two symbols become; by left symbol: how to get the rank with a right one.
         pairs = [m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"]]
-        self.left = [vocabulary[a] for a, _ in pairs]
-        self.right = [vocabulary[b] for _, b in pairs]
         self.merged = [vocabulary[a + b] for a, b in pairs]
-        self.rank = {a << 32 | b: r for r, (a, b) in enumerate(zip(self.left, self.right))}
+        ranks: list[dict[int, int]] = [{} for _ in self.bytes_of]
+        for r, (a, b) in enumerate(pairs):
+            ranks[vocabulary[a]][vocabulary[b]] = r
+        self.rank = [held.get for held in ranks]
+        # Of two bytes (the first one's eight bits in front): the rank, -1 for none.
+        self.first_rank = [self.rank[a](b, -1) for a in self.first for b in self.first]
         self.added = added
         self.added_pattern = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.any_pieces, self.ascii_pieces = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+        self.latin_pieces, self.beyond_latin = re.compile(LATIN_PATTERN).findall, re.compile(r"[^\x00-\u024f]").search
         self.cut = regex.compile(r"(?<=\S)(?=\s)")
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one piece."""
-        rank, left, right, symbols = self.rank.get, self.left, self.right, [self.first[b] for b in piece]
-        n = len(symbols)
-        # A queue entry is one number: rank, then place.
-        queue = [r << 32 | i for i in range(n - 1) if (r := rank(symbols[i] << 32 | symbols[i + 1])) is not None]
+        n, first, first_rank = len(piece), self.first, self.first_rank
+        # By place: the rank of the symbol and its next one. A queue entry is one number: rank times n, plus place.
+        current = [first_rank[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        queue = [r * n + i for i, r in enumerate(current) if r >= 0]
+        symbols = [first[b] for b in piece]
         if not queue:
             return tuple(symbols)
+        rank, merged, pop, push = self.rank, self.merged, heapq.heappop, heapq.heappush
         heapq.heapify(queue)
+        current.append(-1)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        pop, push = heapq.heappop, heapq.heappush
-        symbols.append(-1)
         while queue:
             entry = pop(queue)
-            r, i = entry >> 32, entry & 0xFFFFFFFF
-            j = after[i]
-            if symbols[i] != left[r] or symbols[j] != right[r]:
+            r = entry // n
+            i = entry - r * n
+            if current[i] != r:
                 continue  # stale: one of the two is part of another merge by now
-            new = symbols[i] = self.merged[r]
-            symbols[j] = -1
+            j = after[i]
             k = after[i] = after[j]
+            new = symbols[i] = merged[r]
+            symbols[j] = current[j] = current[i] = -1
             if k < n:
                 before[k] = i
-                if (r := rank(new << 32 | symbols[k])) is not None:
-                    push(queue, r << 32 | i)
+                if (r := rank[new](symbols[k], -1)) >= 0:
+                    current[i] = r
+                    push(queue, r * n + i)
             h = before[i]
-            if h >= 0 and (r := rank(symbols[h] << 32 | new)) is not None:
-                push(queue, r << 32 | h)
+            if h >= 0:
+                r = current[h] = rank[symbols[h]](new, -1)
+                if r >= 0:
+                    push(queue, r * n + h)
         return tuple([s for s in symbols if s >= 0])
 
     def pieces(self, text: str) -> list[str]:
-        return self.ascii_pieces(text) if text.isascii() else self.any_pieces(text)
+        return self.ascii_pieces(text) if text.isascii() else self.any_pieces(text) if self.beyond_latin(text) else self.latin_pieces(text)
 
     def _remember(self, piece: str) -> tuple[int, ...]:
         """Ids of a piece that is not among the last REMEMBERED new ones: one of those before them, or merged."""
@@ -175,7 +186,8 @@ def with_text(rows: DataFrame, path: str, ids: str = "ids", into: str = "text")
 
     @F.pandas_udf("string")
     def decode(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: "" if x is None else tokenizer(shared.value).decode(x))
+        own = tokenizer(shared.value)
+        return lists.map(lambda x: "" if x is None else own.decode(x))
 
     return rows.withColumn(into, decode(F.col(f"`{ids}`")))
 
@@ -187,8 +199,7 @@ def with_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:
-        found = [tokenizer(shared.value).digests(t) for t in texts]
-        return pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame(list(map(tokenizer(shared.value).digests, texts)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
     out = docs.withColumn("__digest", digest(F.col(f"`{text}`").cast("string")))

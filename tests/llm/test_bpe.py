@@ -44,6 +44,17 @@ def test_equals_the_library(library, own, monkeypatch):
             assert own.digests(t) == digests
 
 
+def test_patterns_split_alike(own):
+    """Every character of the narrower alphabets, alone and between letters, digits, marks and white space."""
+    latin = [chr(c) for c in range(0x250)]
+    texts = ["".join(latin)] + [f"{a}{c}{b}" for c in latin for a in ("", " ", "a", "1", ".", "\n") for b in ("", " ", "é", "²", "!", "\u00a0")]
+    for text in texts:
+        assert own.latin_pieces(text) == own.any_pieces(text), repr(text)
+        if text.isascii():
+            assert own.ascii_pieces(text) == own.any_pieces(text), repr(text)
+    assert own.beyond_latin("\u0250") and not own.beyond_latin("".join(latin))
+
+
 def test_ids_that_are_no_utf8_and_no_words(library, own):
     rng = random.Random(1)
     for _ in range(100):
