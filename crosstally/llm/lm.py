@@ -37,7 +37,8 @@ SEED = 42
 TOKENS_PER_PART = 1 << 20
 # A token of this many occurrences is cut into parts by history.
 OCCURRENCES = 1 << 19
-TEXT_AT_ONCE = 1 << 23
+TEXT_AT_ONCE = 1 << 21
+ROWS_AT_ONCE = 500
 BASE = 1.5
 BITS_PER_ENTRY, BITS_SET = 10, 4
 MOST_LEVELS = 120  # of BASE 1.5: counts up to 10^21
@@ -51,22 +52,28 @@ class Block(NamedTuple):
     words: list[bytes]
 
 
-def blocks(texts: list[str | None]):
-    """Blocks of about ``TEXT_AT_ONCE`` characters of whole texts, with the number of texts in each."""
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and size < TEXT_AT_ONCE:
-            size += len(texts[end] or "")
-            end += 1
-        number: dict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__
-        number[END] = 0
-        words = [[*t.encode("utf-8", "surrogatepass").lower().split(), END] if t else [END] for t in texts[at:end]]
-        ends = np.cumsum([len(w) for w in words])
-        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(ends[-1]))
-        yield end - at, Block(ids, ends, list(number))
-        at = end
+def blocks(texts: pa.Array, most: int = TEXT_AT_ONCE):
+    """Blocks of about ``most`` characters of whole texts, with the number of texts in each."""
+    held, size = [], 0
+    for at in range(0, len(texts), ROWS_AT_ONCE):
+        for text in texts.slice(at, ROWS_AT_ONCE).to_pylist():
+            held.append(text)
+            size += len(text or "")
+            if size >= most:
+                yield len(held), _block(held)
+                held, size = [], 0
+    if held:
+        yield len(held), _block(held)
+
+
+def _block(texts: list[str | None]) -> Block:
+    number: dict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    number[END] = 0
+    words = [[*t.encode("utf-8", "surrogatepass").lower().split(), END] if t else [END] for t in texts]
+    ends = np.cumsum([len(w) for w in words])
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(ends[-1]))
+    return Block(ids, ends, list(number))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -124,7 +131,7 @@ def counted_pairs(docs: DataFrame, keys: Keys) -> DataFrame:
     def run(batches):
         k = shared.value
         for batch in batches:
-            for _, block in blocks(batch.column(0).to_pylist()):
+            for _, block in blocks(batch.column(0), 2 * TEXT_AT_ONCE):
                 part, _, pair = k.of(block)
                 found, n = np.unique(part << k.bits | pair, return_counts=True)
                 again = -(-n // 255)
@@ -330,7 +337,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
             k, group = shared.value
             for batch in batches:
                 at = 0
-                for n, block in blocks(batch.column(len(keep)).to_pylist()):
+                for n, block in blocks(batch.column(len(keep))):
                     part = batch.slice(at, n)
                     at += n
                     added = _per_text(log_probabilities(block, k, group, tokens, distinct, prior), block.ends)
