@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.sinks import materialise
@@ -60,9 +61,16 @@ def pieces(texts: list[str | None]):
 def count_contexts(sample: DataFrame) -> pd.DataFrame:
     """``lang, code, n``: how often four bytes (packed, the last one in the lowest byte) follow each other in the
     texts of a language. ``sample`` has ``lang`` and ``text``."""
+    return _counted(sample).toPandas()
+
+
+def _counted(sample: DataFrame, within: str | None = None) -> DataFrame:
+    """The same as a table, for each value of ``within`` (an integer), if named, by itself."""
+    by = ["lang", within] if within else ["lang"]
+
     def run(batches):
         for frame in batches:
-            for lang, texts in frame.groupby("lang")["text"]:
+            for group, texts in frame.groupby(by)["text"]:
                 for data, _, begins, ends in pieces(texts.tolist()):
                     d = data.astype(np.int64)
                     codes = np.zeros(len(d), np.int64)
@@ -71,10 +79,11 @@ def count_contexts(sample: DataFrame) -> pd.DataFrame:
                     np.add.at(inside, begins, 1)
                     np.add.at(inside, ends, -1)
                     code, n = np.unique(codes[np.cumsum(inside[:-1]) > 0], return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "code": code, "n": n})
+                    yield pd.DataFrame(dict(zip(by, group)) | {"code": code, "n": n})
 
-    counts = sample.select("lang", "text").mapInPandas(run, "lang string, code bigint, n bigint")
-    return counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    more = f"{within} bigint, " if within else ""
+    counts = sample.select(*by, "text").mapInPandas(run, f"lang string, {more}code bigint, n bigint")
+    return counts.groupBy(*by, "code").agg(F.sum("n").alias("n"))
 
 
 def _backed_off(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -164,19 +173,26 @@ def highest_rates(docs: DataFrame, text: str = "text", lang: str = "lang", key:
     """
     half = (F.crc32(F.col("key").cast("string").cast("binary")) % 2).alias("half")
     sample = materialise(_sample(docs, text, lang, key, docs_per_language).select("key", "lang", "text", half), "language-sample")
+    counted = materialise(_counted(sample.coalesce(4), "half"), "half-counts")
     rates: dict[str, float] = {}
     for n in (0, 1):
-        model = build(count_contexts(sample.filter(F.col("half") != n).coalesce(4)))
-        coded = predict(sample.filter(F.col("half") == n), model, into=("__lang", "__score"), rate="__rate")
+        model = build(counted.filter(F.col("half") != n).drop("half").toPandas())
+        if model is None:
+            continue
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        coded = predict(sample.filter(F.col("half") == n), model, into=("__lang", "__score"), rate="__rate", shared=shared)
         for name, most in coded.groupBy("lang").agg(F.max("__rate")).collect():
-            if model and name in model.languages and most is not None:
+            if name in model.languages and most is not None:
                 rates[name] = max(most, rates.get(name, 8.0))
+        shared.destroy()
     return rates
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score"), rate: str | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score"), rate: str | None = None,
+            shared: Broadcast | None = None) -> DataFrame:
     """Adds the predicted language and its score (0 to 1) to every row; only the text is looked at. ``rate`` names
-    a further column: bits a byte of the text in that language, null for ``und``.
+    a further column: bits a byte of the text in that language, null for ``und``. ``shared`` is the model as a
+    broadcast of the caller's, who can then end it.
 
     Null, empty and letterless texts (and all texts without a model) are ``und`` with score 0. Ties go to the
     language that sorts first. Repeated rows get the same answer.
@@ -185,7 +201,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
     if model is None:
         none = {rate: F.lit(None).cast("double")} if rate else {}
         return docs.withColumns({into[0]: F.lit(UNDETERMINED), into[1]: F.lit(0.0)} | none)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared or docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, rate double")
     def best(texts: pd.Series) -> pd.DataFrame:

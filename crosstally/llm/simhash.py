@@ -143,21 +143,28 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     return stored.join(asked, (stored.key == asked.key) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
 
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, bits: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: ``key``, the ``keep`` columns, ``fp`` (the fingerprint as a long), ``root`` (the
+    smallest fingerprint of the component, which stands for it) and ``component_id``; see :func:`near_duplicates`."""
+    rows = materialise(with_fingerprint(docs, text, (key, *keep), size).withColumnRenamed(key, "__key"), "fingerprints")
+    fps = materialise(rows.groupBy("fp").agg(F.min("__key").alias("least")), "distinct-fingerprints")
+    members = connected_components(links(fps, bits), "a", "b")
+    # Without links a fingerprint is its own component; with links the least key is taken over all members.
+    linked = members.join(fps, members.node == fps.fp).select("root", "fp", "least")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_linked = materialise(linked.select("root", "fp").join(least, "root").select("fp", "root", "component_id"), "components")
+    alone = fps.join(of_linked, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    component = materialise(of_linked.unionByName(alone), "component-of-fingerprint")
+    return rows.join(component, "fp").select(F.col("__key").alias(key), *[F.col(f"`{c}`") for c in keep], "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, bits: int = 3) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``fingerprint`` (16 hex digits), ``component_id``.
 
     Documents whose fingerprints differ in at most ``bits`` bits are linked; ``component_id`` is the smallest
     key reachable over links. Null or blank texts have fingerprint 0 and are linked like any other. Null keys
     do not count for the smallest key (a component of null keys only has a null id); repeated rows are kept
-    and share their component. Other columns are ignored, whatever their names.
+    and share their component. A long text is hashed whole in one task, its shingles in blocks. Other columns
+    are ignored, whatever their names.
     """
-    rows = materialise(with_fingerprint(docs, text, (key,), size).withColumnRenamed(key, "__key"), "fingerprints")
-    fps = materialise(rows.groupBy("fp").agg(F.min("__key").alias("least")), "distinct-fingerprints")
-    members = connected_components(links(fps, bits), "a", "b")
-    # Without links a fingerprint is its own component; with links the least key is taken over all members.
-    linked = members.join(fps, members.node == fps.fp).select("root", "fp", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = materialise(linked.select("root", "fp").join(least, "root").select("fp", "component_id"), "components")
-    alone = fps.join(of_linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    component = materialise(of_linked.unionByName(alone), "component-of-fingerprint")
-    return rows.join(component, "fp").select(F.col("__key").alias(key), digits("fp").alias("fingerprint"), "component_id")
+    return groups(docs, key, text, size, bits).select(f"`{key}`", digits("fp").alias("fingerprint"), "component_id")
