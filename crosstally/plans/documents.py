@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import guard, payload, text
 from ..functions.dates import file_stamp, reporting_calendar, version_tag
-from ..operators import documents as docs, filters, retrieval as ret
+from ..operators import documents as docs, filters, retrieval as ret, text_index, vector_cells
 from ..registry import query, table, texts
+from ..sources import sinks
 from .inputs import RECORDS, records, sql_strip, sql_terms, sql_with, sql_words
 
 KEYWORD_QUERIES = {"q1": "onen reon oner", "q2": "elle eau", "q3": "here hand annd the"}
@@ -139,6 +140,56 @@ def ret2(spark, sf):
     return keyword(spark, sf).withColumn("score", F.round("score", 6))
 
 
+# Requests from a table: every benchmark item asks for the documents most like it.
+INDEXED = f"""asked AS (SELECT DISTINCT item_id AS query, term FROM (SELECT item_id, unnest({sql_terms('text')}) AS term FROM benchmark)),
+doc_terms AS (SELECT doc_id, {sql_terms('text')} AS t FROM documents),
+corpus AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM doc_terms),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM doc_terms) WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+dfs AS (SELECT term, count(*) AS df FROM counts GROUP BY 1),
+indexed_scores AS (SELECT query, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / avg_len))) AS score
+  FROM asked JOIN counts USING (term) JOIN dfs USING (term) JOIN doc_terms USING (doc_id), corpus GROUP BY 1, 2),
+indexed_hits AS (SELECT query, doc_id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS position FROM indexed_scores))"""
+
+
+def indexed(spark, sf, k):
+    path = sinks.scratch(spark, "text-index")
+    text_index.write_index(documents(spark, sf), "doc_id", "text", path, 32)
+    return text_index.search(spark, path, table(spark, sf, "benchmark"), k, query="item_id")
+
+
+@query("ret2_indexed_hits", sql_with(INDEXED) + "SELECT query, doc_id, round(score, 6) AS score, position FROM indexed_hits WHERE position <= 5")
+def ret2_indexed(spark, sf):
+    return indexed(spark, sf, 5).withColumn("score", F.round("score", 6))
+
+
+CELL_HITS = """cell_hits AS (SELECT query, vec_id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) AS position
+  FROM (SELECT a.item_id AS query, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
+        FROM benchmark a JOIN embeddings v ON v.vec_id = a.item_id, embeddings e)))"""
+
+
+def cell_hits(spark, sf, k):
+    """Each benchmark item asks with the vector of its number."""
+    path, e = sinks.scratch(spark, "vector-cells"), table(spark, sf, "embeddings")
+    vector_cells.write_cells(e, "vec_id", "embedding", path, 32)
+    asked = table(spark, sf, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query"), F.col("embedding").alias("vector"))
+    return vector_cells.search(spark, path, asked, k, key="vec_id")
+
+
+@query("ret1_cell_hits", sql_with(CELL_HITS) + "SELECT query, vec_id, round(score, 6) AS score, position FROM cell_hits WHERE position <= 20")
+def ret1_cells(spark, sf):
+    return cell_hits(spark, sf, 20).withColumn("score", F.round("score", 6))
+
+
+@query("ret3_indexed_hits", sql_with(INDEXED, CELL_HITS) + """, f AS (SELECT coalesce(k.query, v.query) AS query, coalesce(k.doc_id, v.vec_id) AS doc_id,
+  coalesce(1.0 / (60 + k.position), 0) + coalesce(1.0 / (60 + v.position), 0) AS score
+  FROM (SELECT * FROM indexed_hits WHERE position <= 50) k FULL JOIN (SELECT * FROM cell_hits WHERE position <= 50) v ON k.query = v.query AND k.doc_id = v.vec_id)
+SELECT query, doc_id, round(score, 8)::DOUBLE AS score, position FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS position FROM f)
+WHERE position <= 5""")
+def ret3_indexed(spark, sf):
+    v = cell_hits(spark, sf, 50).withColumnRenamed("vec_id", "doc_id")
+    return ret.fuse(indexed(spark, sf, 50), v, "doc_id", 5).select("query", "doc_id", F.round("score", 8).alias("score"), "position")
+
+
 FUSED_VECTOR = _vector_sql(50).replace("('v", "('q")
 
 
