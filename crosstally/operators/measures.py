@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import safe_ratio, threshold_flag, to_number
+from ..sources.sinks import materialise
 from .filters import all_of, equal_to, in_runs
 from .joins import figures, join_totals, salted_totals
 from .schema import q
@@ -161,39 +162,43 @@ def value_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
         n_rows().alias("n"))
 
 
-def quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], accuracy: int = 10000) -> DataFrame:
-    """Exact interpolated quantiles per group (one ``p``, ``value`` row each) without gathering a group
-    in one task.
+def quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], most: int = 4096) -> DataFrame:
+    """Exact interpolated quantiles per group (one ``p``, ``value`` row each) without gathering a group in one task.
 
-    A mergeable sketch first brackets every wanted rank. Only values inside the bracket (about
-    4/accuracy of the group) are ranked; all smaller ones are merely counted. Groups too small for
-    the sketch to leave a margin of several ranks are ranked whole. Reads ``df`` twice.
+    Ranks are selected in rounds. A bracket starts as the whole group. While it holds more than ``most`` distinct
+    values, a sketch of these cuts it into parts, the parts are counted, and the part of the wanted rank is the new
+    bracket, a sixtieth of the old one or so. At last the few values left are ranked. What a task ranks never grows
+    with the group, and copies of a value are one row. Reads ``df`` once; a round reads the counts twice.
     """
     group = [q(k) for k in keys]
-    margin = 2.0 / accuracy
-    grid = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    sketch = df.filter(q(column).isNotNull()).groupBy(*group).agg(
-        n_rows().alias("total"),
-        F.max(q(column).cast("double")).alias("top"),
-        F.percentile_approx(q(column).cast("double"), [float(g) for g in grid], accuracy).alias("grid"))
-    large = F.col("total") >= 4 * accuracy
-    brackets = F.array(*[
-        F.struct(F.lit(float(p)).alias("p"), F.when(large, F.get("grid", F.lit(i))).otherwise(-math.inf).alias("lo"),
-                 F.when(large, F.get("grid", F.lit(len(probs) + i))).otherwise(F.col("top")).alias("hi"))
-        for i, p in enumerate(probs)])
-    wanted = sketch.select(*group, "total", brackets.alias("brackets"))
-    rows = salted_totals(value_counts(df, keys, column), wanted, keys, F.col("v"))
-    per = rows.select(*group, "total", "v", "n", F.inline("brackets")).filter(F.col("v") <= F.col("hi"))
-    # Values below the bracket share one row (null), which sorts first and opens the running count.
-    held = per.groupBy(*group, "p", "total", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.sum("n").alias("n"))
-    running = Window.partitionBy(*group, "p").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = held.withColumn("upto", F.sum("n").over(running))
+    counted = materialise(value_counts(df, keys, column), "value-counts")
+    totals = counted.groupBy(*group).agg(F.sum("n").alias("total"), F.count("*").alias("size"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    wanted = totals.withColumn("below", F.lit(0).cast("bigint")).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in dict.fromkeys(probs)])))
+    wanted = materialise(wanted, "brackets")
+    while not wanted.filter(F.col("size") > most).isEmpty():
+        wanted = materialise(wanted.filter(F.col("size") <= most).unionByName(_narrowed(counted, wanted.filter(F.col("size") > most), keys)), "brackets")
     position = (F.col("total") - 1) * F.col("p")
-    first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
-    at = lambda r: F.max(F.when((r >= first) & (r <= last), F.col("v")))
-    return ranked.groupBy(*group, "p", "total").agg(
-        at(F.floor(position)).alias("a"), at(F.ceil(position)).alias("b")
-    ).select(*group, "p", (F.col("a") + (F.col("b") - F.col("a")) * (position - F.floor(position))).alias("value"))
+    held = salted_totals(counted, wanted, keys, F.col("v")).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    ranked = held.withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy(*group, "p").orderBy("v")))
+    at = lambda r: F.max(F.when((r >= F.col("upto") - F.col("n")) & (r < F.col("upto")), F.col("v")))
+    return ranked.groupBy(*group, "p", "total").agg(at(F.floor(position)).alias("a"), at(F.ceil(position)).alias("b")).select(
+        *group, "p", (F.col("a") + (F.col("b") - F.col("a")) * (position - F.floor(position))).alias("value"))
+
+
+def _narrowed(counted: DataFrame, wide: DataFrame, keys: list[str], parts: int = 64) -> DataFrame:
+    """The parts of wide brackets that hold the ranks on either side of the wanted position."""
+    group = [q(k) for k in keys]
+    inside = F.col("v").between(F.col("lo"), F.col("hi"))
+    within = salted_totals(counted, wide, keys, F.col("v")).filter(inside)
+    cuts = within.groupBy(*group, "p").agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 1000).alias("cuts"))
+    cut = materialise(join_totals(wide, cuts, [*keys, "p"]), "cut-brackets")
+    placed = salted_totals(counted, cut, keys, F.col("v")).filter(inside).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v"))))
+    sums = placed.groupBy(*group, "p", "total", "below", "part").agg(F.sum("n").alias("n"), F.count("*").alias("size"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy(*group, "p").orderBy("part"))
+    position = (F.col("total") - 1) * F.col("p")
+    ranked = sums.withColumn("upto", upto).withColumn("first", F.col("upto") - F.col("n"))
+    kept = ranked.filter((F.floor(position) < F.col("upto")) & (F.ceil(position) >= F.col("first")))
+    return kept.groupBy(*group, "p", "total").agg(F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("below"))
 
 
 def quartiles(df: DataFrame, keys: list[str], column: str) -> DataFrame:
