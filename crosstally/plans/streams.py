@@ -6,11 +6,11 @@ write Parquet and read it back.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..registry import query, table
 from ..sources import sinks
-from ..streaming import streams
+from ..streaming import alarm_states, streams
 from .inputs import FILE_PATHS, file_paths, sql_with
 
 
@@ -23,17 +23,28 @@ def event_stream(spark, sf):
 
 
 def sliced_stream(spark, sf, slices: int = 4):
-    """The events as files of consecutive time slices; every file becomes one micro-batch, the oldest first."""
+    """The events in folders of consecutive time slices, written in one pass by as many tasks as their size asks for.
+    A batch takes one file; files of earlier slices come first, since they are older or their paths sort first."""
     e = events(spark, sf)
     out = sinks.scratch(spark, "slices")
-    low, high = e.agg(F.min("ts"), F.max("ts")).first()
-    if low is None:
-        e.write.parquet(out)
-    for i in range(slices if low is not None else 0):
-        start, end = low + (high - low) / slices * i, low + (high - low) / slices * (i + 1)
-        part = e.filter((F.col("ts") >= F.lit(start)) & ((F.col("ts") < F.lit(end)) if i < slices - 1 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(out)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(out)
+    span = e.agg(F.struct(F.unix_micros(F.min("ts").cast("timestamp")).alias("low"), F.unix_micros(F.max("ts").cast("timestamp")).alias("high"))).scalar()
+    sliced = e.withColumn("span", span)
+    at = F.try_divide(F.unix_micros(F.col("ts").cast("timestamp")) - F.col("span.low"), F.col("span.high") - F.col("span.low")) * slices
+    sliced = sliced.withColumn("slice", F.least(F.coalesce(F.floor(at), F.lit(0)), F.lit(slices - 1)).cast("int")).drop("span")
+    sliced.hint("rebalance", "slice").write.partitionBy("slice").parquet(out)
+    for n in range(slices):  # a later slice is a later arrival
+        touch(spark, f"{out}/slice={n}")
+    return spark.readStream.schema(T.StructType([*e.schema.fields, T.StructField("slice", T.IntegerType())])).option("maxFilesPerTrigger", 1).parquet(out).drop("slice")
+
+
+def touch(spark, folder):
+    """Gives the files of a folder times after those of the folders touched before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(path):
+        now = spark._jvm.java.lang.System.currentTimeMillis()
+        for f in files.listStatus(path):
+            files.setTimes(f.getPath(), now + 1000 * int(folder.rsplit("=", 1)[1]), -1)
 
 
 def run_stream(spark, stream, mode="append"):
@@ -78,6 +89,33 @@ def stm3_stream(spark, sf):
     return run_stream(spark, s).withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
 
 
+# A period without events is quiet; a change needs two periods of its kind in a row.
+CHANGES = """, calendar AS (SELECT event_type, unnest(generate_series(min(start), (SELECT time_bucket(INTERVAL 300 SECONDS, until, TIMESTAMP '2000-01-01') FROM closed) - INTERVAL 300 SECONDS, INTERVAL 300 SECONDS)) AS start
+  FROM periods GROUP BY 1),
+told AS (SELECT c.event_type, c.start, coalesce(mean > 20, false) AS breach FROM calendar c LEFT JOIN periods p ON p.event_type = c.event_type AND p.start = c.start),
+islands AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY start) - row_number() OVER (PARTITION BY event_type, breach ORDER BY start) AS island FROM told),
+places AS (SELECT *, row_number() OVER (PARTITION BY event_type, breach, island ORDER BY start) AS place FROM islands),
+votes AS (SELECT event_type, start, breach, lag(breach, 1, false) OVER (PARTITION BY event_type ORDER BY start) AS before FROM places WHERE place = 2)
+SELECT event_type, start AS period_start, CASE WHEN breach THEN 'ALARM' ELSE 'OK' END AS state FROM votes WHERE breach <> before"""
+
+
+def change_rows(df):
+    return df.select("event_type", F.col("period_start").cast("timestamp_ntz").alias("period_start"), "state")
+
+
+@query("stm3_alarm_changes", sql_with(PERIODS) + CHANGES)
+def stm3_changes(spark, sf):
+    return change_rows(alarm_states.alarm_changes(events(spark, sf), "event_type", "value", 20.0))
+
+
+@query("stm3_alarm_changes_stream", sql_with(PERIODS) + CHANGES)
+def stm3_changes_stream(spark, sf):
+    """Four slices by time, each a micro-batch of its own."""
+    out = sinks.scratch(spark, "changes")
+    alarm_states.run_once(alarm_states.alarm_changes(sliced_stream(spark, sf), "event_type", "value", 20.0), f"{out}/rows", f"{out}/checkpoint")
+    return change_rows(spark.read.parquet(f"{out}/rows"))
+
+
 STATUS = """SELECT user_id, props AS step, arg_max(event_type, {'ts': ts, 'id': event_id}) AS status, max(ts) AS completed_at, count(*) AS changes FROM events GROUP BY 1, 2"""
 
 
