@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import attach
+from .ranking import top_per_key
 from .schema import q
 
 # Rating grades of the eligibility rules and the in-scope activity codes.
@@ -82,6 +83,17 @@ def in_runs(df: DataFrame, scenario: str, run_ids: list[str], most: int = 4) ->
     return df.filter((F.col("scenario") == scenario) & F.col("run_id").isin(*run_ids))
 
 
+def in_recent_runs(df: DataFrame, runs: DataFrame, created: str, most: int = 4) -> DataFrame:
+    """Rows of the ``most`` newest runs of every scenario in ``runs`` (``scenario, run_id`` and a creation time).
+
+    If both are partition columns of ``df``, Spark reads the folders of these runs only: which ones they are is found
+    out when the query runs and prunes the scan.
+    """
+    dated = runs.groupBy("scenario", "run_id").agg(F.max(q(created)).alias("__created"))
+    recent = top_per_key(dated, ["scenario"], [F.desc_nulls_last("__created"), F.col("run_id")], most)
+    return df.join(recent.select("scenario", "run_id"), ["scenario", "run_id"])
+
+
 def rows_with_known_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return attach(df, keys.select(key).distinct(), key, how="left_semi")
 

@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from ..functions.paths import file_extension, file_name, path_components_by_position, path_components_by_prefix
-from ..operators import catalogue as cat, filters
+from ..operators import catalogue as cat, file_lookup, filters
 from ..registry import query, table
-from ..sources import readers, sinks
+from ..sources import bucketed, readers, sinks
 from .inputs import FILE_PATHS, file_paths, sql_with
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
@@ -177,6 +177,28 @@ def cat3(spark, sf):
     return cat.relevant_files(c, QUESTION, names).select("path", "score")
 
 
+def file_columns():
+    return F.when(F.col("scenario") == "baseline", F.array(F.lit("total_price"))).otherwise(F.array(F.lit("order_key")))
+
+
+def file_questions(spark, sf):
+    """A question for every scenario and cycle there is."""
+    parts = tagged(spark, sf).select(F.concat(F.lit("Total price of "), F.translate("level_2", "_", " "), F.lit(" orders in "), F.col("cycle"), F.lit(", run003")).alias("text"))
+    return parts.distinct().select(F.col("text").alias("question"), "text")
+
+
+@query("cat3_token_lookup", sql_with(FILE_PATHS) + r""", asked AS (SELECT DISTINCT 'Total price of ' || translate(scn, '_', ' ') || ' orders in ' || cycle || ', run003' AS question FROM paths),
+words AS (SELECT question, list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{N}]+')) AS w FROM asked),
+files AS (SELECT path, CASE WHEN scenario = 'baseline' THEN ['total', 'price'] ELSE ['order', 'key'] END AS names, list_distinct(regexp_extract_all(lower(path), '[\p{L}\p{N}]+')) AS parts,
+  list_distinct(regexp_extract_all(lower(coalesce(scenario, '')), '[\p{L}\p{N}]+')) AS scn FROM paths),
+scored AS (SELECT question, path, (len(list_intersect(w, names)) + len(list_intersect(w, parts)) + len(list_intersect(w, scn)))::BIGINT AS score FROM words, files)
+SELECT question, path, score, position FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, path)::INTEGER AS position FROM scored WHERE score > 0) WHERE position <= 5""")
+def cat3_lookup(spark, sf):
+    path = sinks.scratch(spark, "file-tokens")
+    file_lookup.write_lookup(tagged(spark, sf), file_columns(), path)
+    return file_lookup.relevant_files(spark, path, file_questions(spark, sf))
+
+
 @query("cat3_files_by_name", sql_with(FILE_PATHS) + "SELECT path, 'moved/' || file_name AS wanted FROM paths WHERE o_totalprice > 450000")
 def cat3_name(spark, sf):
     c = file_paths(spark, sf)
@@ -335,3 +357,23 @@ def ups2(spark, sf):
 def ups2_count(spark, sf):
     ids = table(spark, sf, "orders").filter(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("c_custkey"))
     return sinks.affected_rows(customers(spark, sf), ids, "c_custkey")
+
+
+@query("ups1_bucketed_update", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey >= 30 THEN 'renamed' ELSE c_name END AS c_name, c_acctbal, c_mktsegment FROM customer""")
+def ups1_bucketed(spark, sf):
+    """The same update of a table in buckets; a second one without known ids leaves it as it is."""
+    path = sinks.scratch(spark, "bucketed")
+    bucketed.create(customers(spark, sf), "c_custkey", path, 16)
+    bucketed.update(spark, path, changes(spark, sf), "c_custkey")
+    bucketed.update(spark, path, changes(spark, sf).limit(0), "c_custkey")
+    return bucketed.current(spark, path)
+
+
+@query("ups2_bucketed_delete", """SELECT c_custkey, (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)) AS deleted
+FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)""")
+def ups2_bucketed(spark, sf):
+    path = sinks.scratch(spark, "bucketed")
+    bucketed.create(customers(spark, sf), "c_custkey", path, 16)
+    ids = table(spark, sf, "orders").filter(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("c_custkey"))
+    n = bucketed.delete(spark, path, ids, "c_custkey")
+    return bucketed.current(spark, path).select("c_custkey", F.lit(n).cast("bigint").alias("deleted"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import number_from_money
-from ..operators import documents, filters, measures, ranking, schema, transforms
+from ..operators import documents, filters, measures, ranking, schema, seasonal, transforms
 from ..registry import query, table
+from ..sources import sinks
 from .inputs import FILE_PATHS, file_paths, sql_with
 from ..operators.catalogue import with_path_tags
 
@@ -43,6 +44,21 @@ def agg22_run(spark, sf):
                                        scenario="baseline", run_ids=["run001", "run004"]), "total_l_extendedprice")
 
 
+@query("agg22_recent_runs", sql_with(MEASURES) + """, runs AS (SELECT scenario, run_id, max(l_extendedprice) AS created FROM m GROUP BY 1, 2),
+recent AS (SELECT scenario, run_id FROM runs QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY created DESC, run_id) <= 4)
+SELECT scenario, run_id, round(sum(l_extendedprice), 2) AS total_l_extendedprice, count(*) AS rows FROM m JOIN recent USING (scenario, run_id) GROUP BY 1, 2""")
+def agg22_recent(spark, sf):
+    """Partitioned folders by scenario and run, and a catalogue of the runs; the newest four runs of each scenario are
+    found when the query runs and prune the scan. (The tables have no creation time; the highest price stands for it.)"""
+    path = sinks.scratch(spark, "runs")
+    measure_rows(spark, sf).hint("rebalance", "scenario", "run_id").write.partitionBy("scenario", "run_id").parquet(f"{path}/rows")
+    stored = spark.read.parquet(f"{path}/rows")
+    stored.groupBy("scenario", "run_id").agg(F.max("l_extendedprice").alias("created")).write.parquet(f"{path}/catalogue")
+    found = filters.in_recent_runs(stored, spark.read.parquet(f"{path}/catalogue"), "created")
+    totals = found.groupBy("scenario", "run_id").agg(F.sum("l_extendedprice").alias("total_l_extendedprice"), F.count("*").alias("rows"))
+    return rounded(totals, "total_l_extendedprice")
+
+
 @query("agg22_measure_total", "SELECT sum(l_quantity) AS total_l_quantity FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N'")
 def agg22_total(spark, sf):
     return measures.measure_by(table(spark, sf, "lineitem"), "l_quantity", equals={"l_linestatus": "O", "l_returnflag": "N"})
@@ -250,6 +266,13 @@ def spc10(spark, sf):
     return rounded(transforms.linear_forecast(s, "event_type", "step", "total", 3), "forecast", digits=6)
 
 
+@query("spc10_seasonal_forecast")
+def spc10_seasonal(spark, sf):
+    """A line and weekly waves; no SQL (a system of equations a group), tested against numpy's least squares."""
+    s = daily(spark, sf).withColumn("step", F.datediff("day", F.lit("2024-01-01").cast("date")))
+    return rounded(seasonal.seasonal_forecast(s, "event_type", "step", "total", 7), "forecast", "low", "high", digits=4)
+
+
 @query("agg_distinct_by_segment", "SELECT c_mktsegment AS segment, count(DISTINCT o_orderkey) AS distinct_ids, round(avg(o_totalprice), 4) AS mean FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def agg_distinct(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")

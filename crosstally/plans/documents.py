@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import guard, payload, text
 from ..functions.dates import file_stamp, reporting_calendar, version_tag
-from ..operators import documents as docs, filters, retrieval as ret, text_index, vector_cells
+from ..operators import documents as docs, filters, patterns, retrieval as ret, text_index, vector_cells
 from ..registry import query, table, texts
 from ..sources import sinks
 from .inputs import RECORDS, records, sql_strip, sql_terms, sql_with, sql_words
@@ -92,6 +92,14 @@ def doc7(spark, sf):
     return documents(spark, sf).select("doc_id", text.compact_lines(F.translate("text", "\n", "\r")).alias("content"))
 
 
+# The opening of each benchmark item is a pattern; the item is the name, the smaller number goes first.
+@query("scl25_pattern_table", """WITH p AS (SELECT lower(left(text, 20)) AS pattern, item_id FROM benchmark WHERE length(text) > 0)
+SELECT doc_id, coalesce((SELECT min(item_id) FROM p WHERE contains(lower(text), pattern))::VARCHAR, 'Unknown') AS item FROM documents""")
+def scl25_table(spark, sf):
+    rules = table(spark, sf, "benchmark").select(F.left("text", F.lit(20)).alias("pattern"), F.col("item_id").alias("priority"), F.col("item_id").cast("string").alias("name"))
+    return patterns.first_match(documents(spark, sf), "text", rules, "item").select("doc_id", "item")
+
+
 @query("flt16_any_element", f"SELECT doc_id FROM documents WHERE list_contains({sql_words('text')}, 'the')")
 def flt16(spark, sf):
     return documents(spark, sf).filter(filters.any_element(text.word_set(F.col("text")), "the")).select("doc_id")
