@@ -86,6 +86,21 @@ def events_of(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn
         *KEYS, "seq", F.when(F.col("seq") == 0, "open").otherwise("delta").alias("kind"), "role", "text")
 
 
+def with_detours(log: DataFrame) -> DataFrame:
+    """The same messages by a longer way, as logs of real conversations have it: every assistant's message is begun,
+    thrown away and regenerated, every other one is mistyped and edited, and each has a twin that is deleted. The
+    detours are made of the messages' own first events, so they grow with the log; folding must undo them all."""
+    events = log.withColumn("seq", F.col("seq") * 4)
+    opened = events.filter("kind = 'open'").withColumn("first", F.concat(F.coalesce("role", F.lit("")), F.lit(" \\ ### </turn>")))
+    event = lambda seq, kind, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    again = F.when(F.col("role") == LEARNED, "regenerate").otherwise("edit")
+    inside = F.array(event(1, "delta", F.col("first")), F.struct(F.lit(2).alias("seq"), again.alias("kind"), F.lit(None).cast("string").alias("text")))
+    gone = F.array(event(0, "open", F.lit("")), event(1, "delta", F.col("first")), event(2, "delete", F.lit(None)))
+    of = lambda frame, made: frame.select(*KEYS, "role", F.inline(made)).select(*KEYS, "seq", "kind", "role", "text")
+    twins = opened.withColumn("message", F.concat(F.lit("deleted|"), "message"))
+    return events.unionByName(of(opened, inside)).unionByName(of(twins, gone))
+
+
 def format_log(log: DataFrame) -> DataFrame:
     """``conv_id, turn, message, formatted, loss_begin, loss_end``: a row per final message of the log (columns
     ``conv_id, turn, message, seq, kind, role, text``). A null conversation is a conversation, a null turn

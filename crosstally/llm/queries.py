@@ -123,7 +123,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    formatted = materialise(chat.format_log(chat.events_of(conversations)), "formatted")
+    # Written, because messages get their ids as they are read.
+    log = materialise(chat.events_of(conversations), "log")
+    formatted = materialise(chat.format_log(chat.with_detours(log)), "formatted")
     return chat.read_back(formatted)
 
 

@@ -62,3 +62,15 @@ def test_log_with_edits(spark):
     got = chat.format_log(df).orderBy("turn").collect()
     assert [r.formatted for r in got] == ["### user: Q</turn>\n", "### assistant: world</turn>\n"]
     assert got[0].loss_begin is None and got[1].formatted[got[1].loss_begin:got[1].loss_end] == "world"
+
+
+def test_detours_are_folded_away(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b" * 9000), (1, 2, "assistant", None), (2, 0, None, ""), (None, None, "user", "x"), (2, 1, "assistant", SAID)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.events_of(frame)
+    longer = chat.with_detours(log)
+    assert {r.kind for r in longer.select("kind").distinct().collect()} == {"open", "delta", "edit", "regenerate", "delete"}
+    assert longer.count() == log.count() + 5 * len(rows)
+    plain, undone = (sorted((tuple(r) for r in chat.read_back(chat.format_log(x)).collect()), key=repr) for x in (log, longer))
+    assert plain == undone == brute(rows)
+    assert chat.with_detours(log.limit(0)).count() == 0
