@@ -266,11 +266,31 @@ def spc10(spark, sf):
     return rounded(transforms.linear_forecast(s, "event_type", "step", "total", 3), "forecast", digits=6)
 
 
-@query("spc10_seasonal_forecast")
+def _seasonal_sql(ahead: int) -> str:
+    """The same least squares in SQL: each term in turn is taken out of the values and of the later terms."""
+    waves = [f"{f}({2 * h} * pi() * (x - first) / 7)" for h in (1, 2) for f in ("cos", "sin")]
+    terms = ["1.0", "(x - first) / span", *waves]
+    sql = f""", s AS (SELECT event_type, datediff('day', DATE '2024-01-01', day)::DOUBLE AS x, total AS y FROM daily),
+ends AS (SELECT event_type, min(x) AS first, max(x) AS last, greatest(max(x) - min(x), 1) AS span FROM s GROUP BY 1),
+both_times AS (SELECT * FROM s UNION ALL SELECT event_type, last + n, NULL FROM ends, (SELECT unnest(range(1, {ahead + 1})) AS n)),
+z0 AS (SELECT event_type, x, y, y AS rest, 0.0 AS fit, 0.0 AS lever, {", ".join(f"{t} AS t{i}" for i, t in enumerate(terms))} FROM both_times JOIN ends USING (event_type))"""
+    for k in range(len(terms)):
+        later = range(k + 1, len(terms))
+        over = lambda what: f"sum({what}) FILTER (WHERE y IS NOT NULL) OVER (PARTITION BY event_type)"
+        sums = ", ".join([f"{over(f't{k} * t{k}')} AS own", f"{over(f't{k} * rest')} AS with_rest", *[f"{over(f't{k} * t{j}')} AS with_{j}" for j in later]])
+        left = "".join(f", t{j} - t{k} * with_{j} / own AS t{j}" for j in later)
+        sql += f""",
+z{k + 1} AS (SELECT event_type, x, y, rest - t{k} * with_rest / own AS rest, fit + t{k} * with_rest / own AS fit, lever + t{k} * t{k} / own AS lever{left} FROM (SELECT *, {sums} FROM z{k}))"""
+    return sql + f""",
+reach AS (SELECT *, 1.96 * sqrt(sum(rest * rest) OVER (PARTITION BY event_type) / (count(y) OVER (PARTITION BY event_type) - {len(terms)})) * sqrt(1 + lever) AS reach FROM z{len(terms)})
+SELECT event_type, x::BIGINT AS step, round(fit, 3) AS forecast, round(fit - reach, 3) AS low, round(fit + reach, 3) AS high, {len(terms)} AS terms FROM reach WHERE y IS NULL"""
+
+
+@query("spc10_seasonal_forecast", sql_with(DAILY) + _seasonal_sql(7))
 def spc10_seasonal(spark, sf):
-    """A line and weekly waves; no SQL (a system of equations a group), tested against numpy's least squares."""
+    """A line and weekly waves with prediction intervals."""
     s = daily(spark, sf).withColumn("step", F.datediff("day", F.lit("2024-01-01").cast("date")))
-    return rounded(seasonal.seasonal_forecast(s, "event_type", "step", "total", 7), "forecast", "low", "high", digits=4)
+    return rounded(seasonal.seasonal_forecast(s, "event_type", "step", "total", 7), "forecast", "low", "high", digits=3)
 
 
 @query("agg_distinct_by_segment", "SELECT c_mktsegment AS segment, count(DISTINCT o_orderkey) AS distinct_ids, round(avg(o_totalprice), 4) AS mean FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
