@@ -162,7 +162,7 @@ def value_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
         n_rows().alias("n"))
 
 
-def quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], most: int = 4096) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], most: int = 1 << 17) -> DataFrame:
     """Exact interpolated quantiles per group (one ``p``, ``value`` row each) without gathering a group in one task.
 
     Ranks are selected in rounds. A bracket starts as the whole group. While it holds more than ``most`` distinct
