@@ -18,6 +18,8 @@ from ..sources.sinks import materialise
 # Fixed value: pieces into which a shard's rows are cut for numbering; 4,096 pieces of 40 shards number 3e10 rows
 # with some 200,000 rows in each task's group.
 PIECES = 4096
+# Fixed value: equal rows that one count may stand for.
+COPIES = 1 << 16
 
 
 def cost(key: Column, shard: int, weight: float) -> Column:
@@ -39,23 +41,29 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 
 def numbered(df: DataFrame, shard: str, order: Sequence[str], slot: str = "slot") -> DataFrame:
-    """Rows numbered from 0 without gaps inside each shard.
-
-    A shard holds a fixed share of all rows and would be too much for one task, so its rows are cut into
-    pieces by the hash of the ``order`` columns; pieces are counted (partial aggregation), the counts are
-    summed up to each piece's first number, and rows are numbered inside their piece in that order. Rows equal
-    in all of ``order`` are interchangeable: they get distinct numbers in any order.
+    """Rows numbered from 0 without gaps inside each shard; ``order`` must tell all unlike rows of ``df`` apart.
+
+    Rows equal in all columns are interchangeable: they are counted (within stretches of at most COPIES rows, so
+    that no stretch grows with the table) and become rows again after their numbers are known. A row that is a
+    third of the table is then as many counts as there are stretches. A shard holds a fixed share of all rows and
+    would be too much for one task, so its counts are cut into pieces by the hash of the ``order`` columns; pieces
+    are summed (partial aggregation), the sums are added up to each piece's first number, and the counts of a
+    piece in that order.
     """
     keys = [F.col(f"`{c}`") for c in order]
-    pieces = df.withColumn("__piece", F.pmod(F.xxhash64(*keys), F.lit(PIECES)).cast("int"))
-    counts = pieces.groupBy(F.col(f"`{shard}`").alias("__shard"), F.col("__piece").alias("__p")).agg(F.count("*").alias("__n"))
+    stretch = F.shiftright(F.monotonically_increasing_id(), COPIES.bit_length() - 1)
+    counted = df.withColumn("__stretch", stretch).groupBy(*[F.col(f"`{c}`") for c in df.columns], "__stretch").agg(F.count("*").alias("__n"))
+    # Written once: the sums and the numbering then read the same counts.
+    counted = materialise(counted.withColumn("__piece", F.pmod(F.xxhash64(*keys), F.lit(PIECES)).cast("int")), "counted")
+    sums = counted.groupBy(F.col(f"`{shard}`").alias("__shard"), F.col("__piece").alias("__p")).agg(F.sum("__n").alias("__sum"))
     up_to = Window.partitionBy("__shard").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     # At most PIECES rows a shard, however many rows the shard has.
-    first = counts.withColumn("__first", F.coalesce(F.sum("__n").over(up_to), F.lit(0))).drop("__n")
-    inside = Window.partitionBy(F.col(f"`{shard}`"), "__piece").orderBy(*keys)
-    ranked = pieces.withColumn("__rank", F.row_number().over(inside) - 1)
+    first = sums.withColumn("__first", F.coalesce(F.sum("__sum").over(up_to), F.lit(0))).drop("__sum")
+    inside = Window.partitionBy(F.col(f"`{shard}`"), "__piece").orderBy(*keys, "__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
     joined = ranked.join(first, (F.col(f"`{shard}`") == F.col("__shard")) & (F.col("__piece") == F.col("__p")))
-    return joined.withColumn(slot, (F.col("__first") + F.col("__rank")).cast("bigint")).drop("__piece", "__shard", "__p", "__first", "__rank")
+    at = F.col("__first") + F.col("__before")
+    return joined.withColumn(slot, F.explode(F.sequence(at, at + F.col("__n") - 1))).select(*[F.col(f"`{c}`") for c in df.columns], slot)
 
 
 def shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,7 +71,8 @@ def shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text:
 
     The shard depends on the key and the weights alone; ``grown_shard`` is the one with a further shard of the
     mean weight. Sizes are UTF-8 bytes of the text plus 16; a null text counts 0 bytes and has checksum 0, like
-    an empty one. A null key is hashed as a key of its own. Repeated rows share a shard and get distinct slots.
+    an empty one. A null key is hashed as a key of its own. Repeated rows share a shard and get distinct slots;
+    they may be any share of the table. No row gives none; further columns of ``docs`` are not looked at.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     further = sum(weights) / len(weights)
@@ -72,8 +81,7 @@ def shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text:
         k.alias("__key"), (F.octet_length(body) + 16).cast("bigint").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
         rendezvous(k, weights).alias("shard"), rendezvous(k, [*weights, further]).alias("grown_shard"))
-    # Written once: counting and numbering then read narrow rows, not the texts again.
-    out = numbered(materialise(placed, "placed"), "shard", ("__key", "text_crc32", "size"))
+    out = numbered(placed, "shard", ("__key", "text_crc32", "size"))
     return out.select(F.col("__key").alias(key), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

@@ -30,6 +30,19 @@ def test_against_brute_force(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_a_row_that_is_most_of_the_table(docs, monkeypatch):
+    """Copies become counts of short stretches; slots stay gapless whatever the stretches."""
+    for copies in (16, 1 << 16):
+        monkeypatch.setattr(sharding, "COPIES", copies)
+        rows = [(7, "same")] * 700 + [(i, "other") for i in range(300)] + [(7, "unlike")] * 5
+        got = sharding.shards(docs(rows), [1.0] * 4).collect()
+        assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((k, zlib.crc32(t.encode())) for k, t in rows)
+        slots = defaultdict(list)
+        for r in got:
+            slots[r.shard].append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_weights(spark):
     keys = spark.range(8000)
     weights = [1.0, 2.0, 0.0, 5.0]
