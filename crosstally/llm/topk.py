@@ -11,7 +11,7 @@ vectors the non-essential postings are probed, piece by piece.
 
 Queries and vectors are cut into blocks and every query block meets every shard once; each meeting returns k rows
 a query, and these are merged. Scores are integers: sums are exact in double precision up to 2^53, and larger
-ones are added as integers.
+ones are added as integers; the threshold is then lowered by what rounding may add, as only it is no integer.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from pyspark.sql.window import Window
 
 from ..sources.sinks import materialise
 
-# Vectors of a shard and of one traversal (a short one first, for a threshold), queries of a block, terms probed at a time.
+# Vectors of a shard and of one traversal (a short one first, for a threshold), queries of a block, of one search and of
+# one product, terms probed at a time. Shards and query blocks weigh alike: a vector is copied once a query block.
 SHARD = 16384
 FIRST, BLOCK = 256, 2048
-QUERIES = 1024
+QUERIES = 8192
 TOGETHER = 256
+ALIKE = 32
 PROBE = 8
 
 
@@ -70,11 +72,25 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
 
 
+def _traversed(weights: np.ndarray, essential: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """(queries, vectors of the block): sums over the essential postings, the only ones with a weight here."""
+    score = np.zeros((len(weights), len(block)), weights.dtype)
+    order = np.argsort(essential, kind="stable")
+    order = order[essential[order] > 0]
+    for at in range(0, len(order), ALIKE):
+        own = order[at:at + ALIKE]
+        used = np.flatnonzero((weights[own] != 0).any(axis=0))
+        score[own] = weights[own][:, used] @ block[:, used].T
+    return score
+
+
 def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, score): each query's k best vectors of the shard, ties to smaller ids."""
+    """(query id, vector id, score): each query's k best vectors of the shard, ties to smaller ids. Scores are
+    Python integers where a long could not hold them."""
     largest = [max(int(np.abs(x).max(initial=0)), 1) for x in (queries, shard.vectors)]
     reach = largest[0] * largest[1] * max(queries.shape[1], 1)
     kind = np.float64 if reach < 1 << 53 else np.int64 if reach < 1 << 62 else object
+    slack = 0.0 if kind is np.float64 else reach * 2.0 ** -50
     vectors, out = shard.vectors.astype(kind), ([], [], [])
     for lo in range(0, len(queries), TOGETHER):
         own, numbers = queries[lo:lo + TOGETHER].astype(kind), query_ids[lo:lo + TOGETHER]
@@ -91,7 +107,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, k: int) ->
             essential = np.where((rest <= threshold[:, None]).any(axis=1), (rest <= threshold[:, None]).argmax(axis=1), terms)
             weights = np.zeros_like(own)
             np.put_along_axis(weights, order, np.where(np.arange(terms) < essential[:, None], ranked, 0), 1)
-            score = weights @ block.T
+            score = _traversed(weights, essential, block)
             more = np.take_along_axis(rest, essential[:, None], 1)
             q, v = np.nonzero((score + more > threshold[:, None]) & (numbers[:, None] != ids[None, :]))
             score, done = score[q, v], essential[q]
@@ -113,10 +129,11 @@ def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, k: int) ->
             count = np.bincount(held[0], minlength=len(own))
             full = count >= k
             last = np.cumsum(count) - 1
-            threshold[full] = held[2][last[full]].astype(float)
+            threshold[full] = held[2][last[full]].astype(float) - slack
         for o, x in zip(out, (numbers[held[0]], held[1], held[2])):
             o.append(x)
-    return tuple(np.concatenate(o).astype(np.int64) if o else np.zeros(0, np.int64) for o in out)
+    kinds = np.int64, np.int64, object if kind is object else np.int64
+    return tuple(np.concatenate(o).astype(t) if o else np.zeros(0, np.int64) for o, t in zip(out, kinds))
 
 
 def top_k(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
@@ -124,27 +141,31 @@ def top_k(rows: DataFrame, queries: Column, key: str = "vec_id", vector: str = "
 
     A query is not its own candidate: rows with its id are left out. Of several vectors with a query's id the
     smallest asks. Vectors that are null or hold null or non-finite components take no part, nor do rows
-    without id; vectors of different lengths are not compared. Repeated candidates count as often as they come.
+    without id; vectors of different lengths are not compared. Repeated candidates count as often as they come,
+    and are dealt to shards row by row, so that one id may be any share of the table. A score beyond the range
+    of a long is ranked by its value (up to 2^126) and reported as the nearest long. An empty table gives no rows;
+    further columns of ``rows`` are not looked at.
     """
-    good = materialise(rows.withColumn("__q", F.coalesce(queries, F.lit(False))).select(F.col(f"`{key}`").cast("bigint").alias("id"), integers(F.col(f"`{vector}`")).alias("v"), "__q")
+    good = materialise(rows.withColumn("__q", F.coalesce(queries, F.lit(False))).select(F.col(f"`{key}`").cast("bigint").alias("id"), integers(F.col(f"`{vector}`")).alias("v"), "__q", F.monotonically_increasing_id().alias("place"))
                        .filter("id is not null and v is not null").withColumn("terms", F.size("v")), "integer-vectors")
     asked = materialise(good.filter("__q").groupBy("id", "terms").agg(F.min("v").alias("v")), "queries")
     sizes = good.groupBy("terms").agg(F.count("*").alias("n")).join(asked.groupBy("terms").agg(F.count("*").alias("m")), "terms")
     # A row per vector length: how many shards and query blocks it needs.
     sizes = materialise(sizes.select("terms", F.ceil(F.col("n") / SHARD).cast("int").alias("shards"), F.ceil(F.col("m") / QUERIES).cast("int").alias("blocks")), "sizes")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = good.join(sizes, "terms").select("terms", dealt("shards").alias("shard"), every("blocks").alias("block"), "id", "v")
-    right = asked.join(sizes, "terms").select("terms", dealt("blocks").alias("block"), every("shards").alias("shard"), "id", "v")
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    left = good.join(sizes, "terms").select("terms", dealt("shards", "id", "place").alias("shard"), every("blocks").alias("block"), "id", "v")
+    right = asked.join(sizes, "terms").select("terms", dealt("blocks", "id").alias("block"), every("shards").alias("shard"), "id", "v")
 
     def meet(vectors: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         found = (np.zeros(0, np.int64),) * 3
         if len(vectors) and len(wanted):
             stacked = [np.stack(f.v.to_list()).reshape(len(f), -1).astype(np.int64) for f in (vectors, wanted)]
             found = search(wanted.id.to_numpy(), stacked[1], Shard(vectors.id.to_numpy(), stacked[0]), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
+        within = lambda x: np.clip(x, -1 << 63, (1 << 63) - 1).astype(np.int64)
+        return pd.DataFrame({"query_id": found[0], "vec_id": found[1], "score": within(found[2]), "high": within(found[2] >> 62), "low": (found[2] & (1 << 62) - 1).astype(np.int64)})
 
     keys = ("terms", "shard", "block")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint, high bigint, low bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(key), "score")

@@ -43,6 +43,28 @@ def test_large_components_stay_exact(spark):
     assert run(spark, rows) == brute(rows, 5, lambda i: i % 3 == 0)
 
 
+def test_scores_beyond_a_long_and_close_ones(spark):
+    """Ranked by value, reported as the nearest long; scores beyond 2^53 that differ by one are told apart."""
+    rows = [(i, [3e9 + i, 3e9 - i]) for i in range(12)] + [(20 + i, [1e16 + 4096 * i, 1.0]) for i in range(9)]
+    rows += [(40 + i, [2.0 ** 27 + i % 7 / 64, i / 64]) for i in range(30)]
+    within = lambda x: min(max(x, -1 << 63), (1 << 63) - 1)
+    assert run(spark, rows) == [(*r[:3], within(r[3])) for r in brute(rows, 5, lambda i: i % 3 == 0)]
+
+
+def test_one_id_on_most_rows(spark, monkeypatch):
+    for name, n in (("SHARD", 30), ("QUERIES", 4), ("ALIKE", 3)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(6)
+    rows = [(5, rng.normal(size=4).round(2).tolist()) for _ in range(150)] + [(i, rng.normal(size=4).round(2).tolist()) for i in range(40)]
+    assert run(spark, rows) == brute(rows, 5, lambda i: i % 3 == 0)
+
+
+def test_postings_that_no_query_needs_are_left_out():
+    weights, block = np.array([[0, 3, 0], [0, 0, 0], [2, 1, 0]]), np.arange(12).reshape(4, 3)
+    got = topk._traversed(weights, np.array([1, 0, 2]), block)
+    assert (got == weights @ block.T).all()
+
+
 def test_few_and_no_rows(spark):
     assert run(spark, []) == [] and run(spark, [(3, [1.0])]) == [] and run(spark, [(3, [1.0]), (4, [2.0])]) == [(3, 1, 4, 64 * 128)]
 
