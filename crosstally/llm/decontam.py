@@ -26,6 +26,7 @@ from ..sources.sinks import materialise
 SHINGLE = 3
 BITMAP = 23
 BLOCK = 4 << 20
+TOGETHER = 4096
 SPACE = 32
 # Bytes to lower-cased word bytes; what is no ASCII letter or digit and below 0x80 separates words.
 BYTES = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else SPACE for b in range(256)], np.uint8)
@@ -137,27 +138,36 @@ def _count(docs: DataFrame, sizes: list[int], bitmap: np.ndarray) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, sizes: list[int], bitmap: np.ndarray, window: int) -> DataFrame:
-    """A row per document: ``row, doc, hash, n_words, found`` with the prefix tokens found, their positions and
-    the words around them."""
+    """A row per document (``row, doc, hash, n_words``) and a row per prefix token found (``row, n_words, token, at,
+    begin, around``: its position, and the words around it). Those of a document of common words are many, but no
+    row grows with the document."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    element = pa.struct([("token", pa.int64()), ("at", pa.int32()), ("begin", pa.int32()), ("around", pa.list_(pa.string()))])
+    kind = docs.schema["doc"].dataType.simpleString()
+    names = ["row", "doc", "hash", "n_words", "token", "at", "begin", "around"]
 
     def run(batches):
         for batch in batches:
-            counts, found = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
+            rows, counts = batch.column(0).to_numpy(), np.zeros(batch.num_rows, np.int64)
             for first, words in _blocks(batch.column(3).to_pylist()):
-                counts[first:first + len(words.bounds) - 1] = np.diff(words.bounds)
+                size_of = np.diff(words.bounds)
+                counts[first:first + len(size_of)] = size_of
                 for _, token, at in _hits(words, sizes, shared.value):
-                    text = np.searchsorted(words.bounds, at, side="right") - 1
-                    for t, a, i in zip(token.view(np.int64).tolist(), at.tolist(), text.tolist()):
-                        lo, hi = int(words.bounds[i]), int(words.bounds[i + 1])
-                        begin = max(lo, a - window + 1)
-                        found[first + i].append({"token": t, "at": a - lo, "begin": begin - lo, "around": words.slice(begin, min(hi, a + window))})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts), pa.array(found, pa.list_(element))], names=["row", "doc", "hash", "n_words", "found"])
+                    for part in range(0, len(at), TOGETHER):
+                        where = at[part:part + TOGETHER]
+                        text = np.searchsorted(words.bounds, where, side="right") - 1
+                        low, high = words.bounds[text], words.bounds[text + 1]
+                        begin = np.maximum(low, where - window + 1)
+                        around = [words.slice(x, y) for x, y in zip(begin.tolist(), np.minimum(high, where + window).tolist())]
+                        n = len(where)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(rows[first + text]), pa.nulls(n, batch.column(1).type), pa.nulls(n, pa.int64()), pa.array(size_of[text]),
+                            pa.array(token.view(np.int64)[part:part + TOGETHER]), pa.array((where - low).astype(np.int64)),
+                            pa.array((begin - low).astype(np.int64)), pa.array(around, pa.list_(pa.string()))], names=names)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.list_(pa.string()))], names=names)
 
-    kind = docs.schema["doc"].dataType.simpleString()
     return docs.select("row", "doc", "hash", "text").mapInArrow(
-        run, f"row bigint, doc {kind}, hash bigint, n_words bigint, found array<struct<token:bigint,at:int,begin:int,around:array<string>>>")
+        run, f"row bigint, doc {kind}, hash bigint, n_words bigint, token bigint, at bigint, begin bigint, around array<string>")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13) -> tuple[DataFrame, DataFrame]:
@@ -171,12 +181,12 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     ranked = tokens.join(seen, "token", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("p"))
     prefix = materialise(windows.join(ranked, "id").select("item_id", "words", F.size("words").alias("length"), "p.token", "p.offset"), "prefixes")
     rows = materialise(_occurrences(source, sizes, _bitmap(prefix.select("token")), window), "occurrences")
-    found = rows.filter(F.size("found") > 0).select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
+    found = rows.filter("around is not null").select("row", "n_words", "token", "at", "begin", "around")
     start = F.col("at") - F.col("offset")
     fits = (start >= 0) & (start + F.col("length") <= F.col("n_words"))  # position and length bounds
-    same = F.slice("around", F.greatest(start - F.col("begin"), F.lit(0)) + 1, F.col("length")) == F.col("words")
+    same = F.slice("around", (F.greatest(start - F.col("begin"), F.lit(0)) + 1).cast("int"), F.col("length")) == F.col("words")
     hits = found.join(prefix, (found.token == prefix.token) & fits & same)
-    return rows.select("row", "doc", "hash", "n_words"), hits.select("row", start.alias("start"), (start + F.col("length")).alias("end"), "item_id")
+    return rows.filter("around is null").select("row", "doc", "hash", "n_words"), hits.select("row", start.alias("start"), (start + F.col("length")).alias("end"), "item_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13) -> DataFrame:
@@ -185,7 +195,9 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     A word is hit if it lies in an occurrence of a window; ``contaminated`` if some are hit and they are at
     least a twentieth of the words. ``items`` holds the ids of items with occurring windows, sorted as text.
     Null and wordless texts have no words and no windows. Items without id hit words but have no id to
-    report; repeated items count once. Repeated documents are judged one by one. ``hash`` is the text's hash.
+    report; repeated items count once. Repeated documents are judged one by one. ``hash`` is the text's hash. A very
+    long text is scanned as a whole, and what is found in it is a row each. An empty table of documents gives no
+    rows, one of items no hits; further columns are not looked at.
     """
     rows, hits = overlaps(docs, items, key, text, item, item_text, window)
     hits = materialise(hits, "hits")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from crosstally.llm import decontam
 
 ITEM = "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"
@@ -65,3 +67,19 @@ def test_partial_windows_are_no_hit(spark):
 def test_empty_tables(spark):
     assert run(spark, [], [(1, ITEM)]) == []
     assert run(spark, [(1, ITEM)], []) == [(1, 15, 0, 0, [], False)]
+
+
+def test_common_word_as_an_item_and_a_long_text(spark, monkeypatch):
+    """Every word of the long text is an occurrence: a row each, in batches of a fixed size."""
+    monkeypatch.setattr(decontam, "TOGETHER", 100)
+    docs = [(1, "the cat " * 6000), (2, "The"), (3, None), (4, "cat " + ITEM)]
+    items = [(1, "the"), (2, ITEM)]
+    assert run(spark, docs, items) == brute(docs, items)
+    rows = decontam._occurrences(
+        spark.createDataFrame([(0, 5, 1, "the " * 250)], "row long, doc long, hash long, text string"), [1], np.full(1 << decontam.BITMAP - 3, 255, np.uint8), 13)
+    found = rows.filter("around is not null").collect()
+    assert len(found) == 250 and max(len(r.around) for r in found) == 25 and rows.count() == 251
+
+
+def test_no_documents_and_no_items(spark):
+    assert run(spark, [], [(1, ITEM)]) == [] and run(spark, [(1, ITEM)], []) == [(1, 15, 0, 0, [], False)]
