@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -111,6 +111,21 @@ def _reason(e: Exception) -> str:
     return str(getattr(e, "java_exception", e)).split("\n")[0]
 
 
+def halved(profile: Callable[[list], DataFrame], items: Sequence, reason: Callable[[Exception], str]) -> tuple[list[DataFrame], dict]:
+    """Results of ``profile`` over all items, and ``{item: error}`` of those that break it. A list that breaks is
+    tried again in halves: a few jobs for each broken item, however many there are in all."""
+    items = list(items)
+    if not items:
+        return [], {}
+    try:
+        return [profile(items)], {}
+    except Exception as e:
+        if len(items) == 1:
+            return [], {items[0]: reason(e)}
+        (a, x), (b, y) = (halved(profile, half, reason) for half in (items[:len(items) // 2], items[len(items) // 2:]))
+        return a + b, x | y
+
+
 def catalogue_rows(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
     """Catalogue of datasets ``{path: format}``: path tags, name, type, column profile.
 
@@ -125,15 +140,9 @@ def catalogue_rows(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
             failed[path] = _reason(e)
     rows = spark.createDataFrame([], "path string, column string, data_type string, sample_values array<string>")
     profile = lambda parts: materialise(_profile(reduce(DataFrame.unionByName, parts)).withColumnRenamed("file", "path"), "profiles")
-    if found:
-        try:
-            rows = profile(found.values())
-        except Exception:  # some dataset breaks while it is read: one by one, to tell which
-            for path, part in found.items():
-                try:
-                    rows = rows.unionByName(profile([part]))
-                except Exception as e:
-                    failed[path] = _reason(e)
+    done, broken = halved(lambda paths: profile([found[p] for p in paths]), found, _reason)
+    rows = reduce(DataFrame.unionByName, done, rows)
+    failed |= broken
     silent = set(datasets) - set(failed) - {r[0] for r in rows.select("path").distinct().collect()}
     failed |= dict.fromkeys(sorted(silent))  # read, and without any value
     errors = spark.createDataFrame(list(failed.items()), "path string, error string")

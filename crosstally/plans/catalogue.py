@@ -9,6 +9,7 @@ from ..functions.paths import file_extension, file_name, path_components_by_posi
 from ..operators import catalogue as cat, file_lookup, filters
 from ..registry import query, table
 from ..sources import bucketed, readers, sinks
+from ..streaming import catalogue_feed
 from .inputs import FILE_PATHS, file_paths, sql_with
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
@@ -81,6 +82,45 @@ def cat1_delimited(spark, sf):
     return rows.select("level_1", "cycle", "run_id", "scenario", "file_name", "column", "data_type", _samples(), "file_type", F.col("error").isNotNull().alias("failed"))
 
 
+def _broken(spark, path):
+    """A file that is no Parquet, but has the suffix."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.writeBytes("no parquet")
+    out.close()
+
+
+FEED_SQL = """WITH f AS (SELECT CASE WHEN c_nationkey % 3 = 0 THEN 'run000' WHEN c_nationkey % 3 = 1 THEN 'run001' ELSE 'run002' END AS run_id, * FROM customer)
+SELECT run_id, "column", data_type, smallest, false AS failed FROM (
+SELECT run_id, 'c_custkey' AS "column", 'int' AS data_type, CAST(min(c_custkey) AS VARCHAR) AS smallest FROM f GROUP BY 1
+UNION ALL SELECT run_id, 'c_name', 'string', min(c_name) FROM f GROUP BY 1
+UNION ALL SELECT run_id, 'c_mktsegment', 'string', min(c_mktsegment) FROM f WHERE run_id <> 'run001' GROUP BY 1
+UNION ALL SELECT run_id, 'c_nationkey', 'int', CAST(min(c_nationkey) AS VARCHAR) FROM f WHERE run_id = 'run001' GROUP BY 1)
+UNION ALL SELECT 'run009', NULL, NULL, NULL, true"""
+
+
+@query("cat1_incremental_catalogue", FEED_SQL)
+def cat1_incremental(spark, sf):
+    """Files of three runs arrive; later one run is written anew with other columns and a broken file arrives."""
+    root, store = sinks.scratch(spark, "runs"), sinks.scratch(spark, "catalogue")
+
+    def put(n, *columns):
+        rows = table(spark, sf, "customer").filter(F.col("c_nationkey") % 3 == n).select(*columns)
+        sinks.write_csv(rows, f"{root}/run00{n}", mode="overwrite")
+
+    for n in range(3):
+        put(n, "c_custkey", "c_name", "c_mktsegment")
+    catalogue_feed.refresh(spark, root, store)
+    put(1, "c_nationkey", "c_name", "c_custkey")
+    _broken(spark, f"{root}/run009/customers.parquet")
+    catalogue_feed.refresh(spark, root, store)
+    found = catalogue_feed.current(spark, store).groupBy("run_id", "column", "data_type").agg(
+        F.min(F.get("sample_values", F.lit(0)).try_cast("bigint")).alias("number"), F.min(F.get("sample_values", F.lit(0))).alias("text"),
+        F.bool_or(F.col("error").isNotNull()).alias("failed"))
+    smallest = F.when(F.col("data_type") == "int", F.col("number").cast("string")).otherwise(F.col("text"))
+    return found.select("run_id", "column", "data_type", smallest.alias("smallest"), "failed")
+
+
 @query("snk3_nested_catalogue", PROFILE_SQL)
 def snk3(spark, sf):
     out = sinks.scratch(spark, "catalogue.json")

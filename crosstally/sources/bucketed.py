@@ -20,9 +20,9 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _finished(spark: SparkSession, path: str) -> list[int]:
-    """Versions with a finished manifest, oldest first."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+def finished_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the folders ``version=N`` whose write was finished, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(folder):
         return []
@@ -31,6 +31,11 @@ def _finished(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName().removeprefix("version=")) for p in done)
 
 
+def _finished(spark: SparkSession, path: str) -> list[int]:
+    """Versions with a finished manifest, oldest first."""
+    return finished_versions(spark, f"{path}/manifests")
+
+
 def _manifest(spark: SparkSession, path: str, version: int) -> dict[int, int]:
     """Current version of every bucket; at most as many rows as there are buckets."""
     return dict(spark.read.parquet(f"{path}/manifests/version={version}").select("bucket", "current").collect())
