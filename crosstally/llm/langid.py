@@ -6,9 +6,10 @@ escapes with d / (n + d) to the context without its first byte, and after the em
 choice among 256 bytes. The code length of a text is the sum of -log2 of these over its bytes. The language
 with the shortest code wins; the score is its posterior probability with equal priors.
 
-Counting is a Spark aggregate over a bounded, documented sample of labelled texts (whole texts, chosen by
-hash). What leaves it is a table of code lengths by context, byte and language, bounded by ``most_bytes``: it
-goes to the tasks as a broadcast, and a text is scored with two table look-ups a byte for all languages at once.
+Counting is a Spark aggregate over all labelled texts (whole; a caller may ask for a sample of them). The driver gets
+the counts of the most visited contexts only, as many as the model has room for, and those of shorter ones. What
+leaves it is a table of code lengths by context, byte and language, bounded by ``most_bytes``: it goes to the tasks
+as a broadcast, and a text is scored with two table look-ups a byte for all languages at once.
 A context that was cut or never seen in any language falls back to its longest kept suffix, as PPM does anyway.
 """
 
@@ -27,6 +28,11 @@ from .samples import keys_by_hash, rows_of
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
 BLOCK = 1 << 20
+# Counts that a counting task holds before it hands them on, and bytes of a model's table.
+HELD = 1 << 19
+MOST_BYTES = 32 << 20
+# Marks the counts of contexts that were cut: their last three bytes only.
+SHORT = 1 << 32
 # What stands before the first byte of a text.
 START = b"\0\0\0"
 
@@ -68,24 +74,60 @@ def _counted(sample: DataFrame, within: str | None = None) -> DataFrame:
     """The same as a table, for each value of ``within`` (an integer), if named, by itself."""
     by = ["lang", within] if within else ["lang"]
 
+    def merged(parts: list) -> tuple:
+        code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return code, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+    def rows(held: dict):
+        for group, parts in held.items():
+            code, n = merged(parts)
+            yield pd.DataFrame(dict(zip(by, group)) | {"code": code.astype(np.int64), "n": n})
+
     def run(batches):
+        held, size = {}, 0
         for frame in batches:
             for group, texts in frame.groupby(by)["text"]:
                 for data, _, begins, ends in pieces(texts.tolist()):
-                    d = data.astype(np.int64)
-                    codes = np.zeros(len(d), np.int64)
-                    codes[3:] = d[:-3] << 24 | d[1:-2] << 16 | d[2:-1] << 8 | d[3:]
-                    inside = np.zeros(len(d) + 1, np.int8)
+                    # Four bytes are one unsigned number, built in place.
+                    codes = np.zeros(len(data), np.uint32)
+                    for k in range(4):
+                        codes[3:] <<= 8
+                        codes[3:] |= data[k:len(data) - 3 + k]
+                    inside = np.zeros(len(data) + 1, np.int8)
                     np.add.at(inside, begins, 1)
                     np.add.at(inside, ends, -1)
-                    code, n = np.unique(codes[np.cumsum(inside[:-1]) > 0], return_counts=True)
-                    yield pd.DataFrame(dict(zip(by, group)) | {"code": code, "n": n})
+                    code, n = np.unique(codes[np.cumsum(inside[:-1], dtype=np.int8) > 0], return_counts=True)
+                    held.setdefault(group, []).append((code, n))
+                    size += len(code)
+                    if size >= HELD:
+                        held = {g: [merged(parts)] for g, parts in held.items()}
+                        size = sum(len(parts[0][0]) for parts in held.values())
+                        if size >= HELD // 2:
+                            yield from rows(held)
+                            held, size = {}, 0
+        yield from rows(held)
 
     more = f"{within} bigint, " if within else ""
     counts = sample.select(*by, "text").mapInPandas(run, f"lang string, {more}code bigint, n bigint")
     return counts.groupBy(*by, "code").agg(F.sum("n").alias("n"))
 
 
+def _frequent(counts: DataFrame, most_bytes: int = MOST_BYTES) -> pd.DataFrame:
+    """Of counts as a table what :func:`build` uses of them: those of the contexts of three bytes that were visited most,
+    as many as can have room, and of all others the sums by their last three bytes."""
+    by_byte = counts.select("lang", F.col("code").bitwiseAND(255).alias("byte")).distinct().collect()
+    size, languages = 1 + len({r.byte for r in by_byte}), len({r.lang for r in by_byte})
+    if not by_byte:
+        return counts.limit(0).toPandas()
+    context = F.shiftright("code", 8)
+    kept = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("visits")).orderBy(F.desc("visits"), "context").limit(
+        most_bytes // (4 * size * languages)).select("context")
+    whole = counts.join(kept, context == F.col("context"), "left_semi")
+    cut = counts.join(kept, context == F.col("context"), "left_anti").groupBy(
+        "lang", (F.col("code").bitwiseAND(0xFFFFFF) + SHORT).alias("code")).agg(F.sum("n").alias("n"))
+    return whole.select("lang", "code", "n").union(cut).toPandas()
+
+
 def _backed_off(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     """Probabilities of the next symbol: seen ones by their counts, the others by escape to the shorter context."""
     visits, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
@@ -93,7 +135,7 @@ def _backed_off(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(visits == 0, shorter, np.where(counts > 0, counts / total, kinds / total * shorter))
 
 
-def build(counts: pd.DataFrame, most_bytes: int = 32 << 20) -> Model | None:
+def build(counts: pd.DataFrame, most_bytes: int = MOST_BYTES) -> Model | None:
     """Frozen code lengths from the counts; None without counts. Contexts of two bytes and fewer are all kept,
     those of three by how often they were visited, as far as the table stays within ``most_bytes``."""
     if not len(counts):
@@ -103,16 +145,18 @@ def build(counts: pd.DataFrame, most_bytes: int = 32 << 20) -> Model | None:
     n = counts["n"].to_numpy(np.float64)
     language = np.searchsorted(languages, counts["lang"].to_numpy(str))
     parts = [(code >> s & 255) for s in (24, 16, 8, 0)]
-    used = np.unique(np.concatenate(parts))
+    whole = code < SHORT
+    used = np.unique(np.concatenate(parts[1:] + [parts[0][whole]]))
     symbol = np.zeros(256, np.int32)
     symbol[used] = np.arange(1, len(used) + 1)
     size = len(used) + 1
     s3, s2, s1, s0 = (symbol[p].astype(np.int64) for p in parts)
     two, at_two = np.unique(s2 * size + s1, return_inverse=True)
-    three, at_three = np.unique((s3 * size + s2) * size + s1, return_inverse=True)
-    visits = np.bincount(at_three, n)
+    three, at_three = np.unique(np.where(whole, (s3 * size + s2) * size + s1, -1), return_inverse=True)
+    visits = np.where(three < 0, 0, np.bincount(at_three, n, len(three)))
     room = max(0, most_bytes // (4 * size * len(languages)) - 1 - size - len(two))
-    kept = np.sort(np.argsort(-visits, kind="stable")[:room])
+    kept = np.argsort(-visits, kind="stable")[:room]
+    kept = np.sort(kept[three[kept] >= 0])
     row_of = np.full(len(three), -1)
     row_of[kept] = np.arange(len(kept))
     three = three[kept]
@@ -149,38 +193,44 @@ def code_lengths(texts: list[str | None], model: Model) -> np.ndarray:
     return bits
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = 500) -> Model | None:
-    """Learn from at most ``docs_per_language`` whole texts of each language, those with the smallest hash of the
-    key (of repeated keys the smallest text). Rows without text, key or language teach nothing; None if nothing
-    is left."""
-    sample = _sample(docs, text, lang, key, docs_per_language)
-    # The sample is of a fixed size; counted in few tasks, hardly any count leaves more than one of them.
-    return build(count_contexts(sample.coalesce(4)))
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int | None = None) -> Model | None:
+    """Learn from all whole texts, or from at most ``docs_per_language`` of each language, those with the smallest
+    hash of the key. Of repeated keys the smallest text teaches. Rows without text, key or language teach nothing;
+    None if nothing is left."""
+    counts = materialise(_counted(_lessons(docs, text, lang, key, docs_per_language)), "context-counts")
+    return build(_frequent(counts))
 
 
-def _sample(docs: DataFrame, text: str, lang: str, key: str, docs_per_language: int) -> DataFrame:
+def _lessons(docs: DataFrame, text: str, lang: str, key: str, docs_per_language: int | None) -> DataFrame:
+    """``key, lang, text`` of the documents that teach."""
     labelled = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").alias("lang")).dropna()
-    sample = rows_of(labelled, keys_by_hash(labelled, docs_per_language, within="lang"), "key", "lang")
-    return sample.groupBy("key", "lang").agg(F.min("text").alias("text"))
+    if docs_per_language is not None:
+        labelled = rows_of(labelled, keys_by_hash(labelled, docs_per_language, within="lang"), "key", "lang")
+    # Only texts of repeated keys are brought together.
+    repeated = materialise(labelled.groupBy("key", "lang").agg(F.count("*").alias("n")).filter("n > 1").select("key", "lang"), "repeated-keys")
+    if repeated.isEmpty():
+        return labelled.select("key", "lang", "text")
+    first = labelled.join(repeated, ["key", "lang"]).groupBy("key", "lang").agg(F.min("text").alias("text"))
+    return labelled.join(repeated, ["key", "lang"], "left_anti").select("key", "lang", "text").union(first)
 
 
-def highest_rates(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = 500) -> dict[str, float]:
-    """For each language of ``train``'s sample: the most bits a byte that a text of it may need.
+def highest_rates(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int | None = None) -> dict[str, float]:
+    """For each language of what teaches ``train``: the most bits a byte that a text of it may need.
 
-    Each half of the sample is coded by what the other half teaches; the limit is the highest rate met, and eight
+    Each half of these texts is coded by what the other half teaches; the limit is the highest rate met, and eight
     at least: a text beyond it is told better by plain bytes than by the language. A language without texts in
     both halves cannot be measured and has no entry.
     """
     half = (F.crc32(F.col("key").cast("string").cast("binary")) % 2).alias("half")
-    sample = materialise(_sample(docs, text, lang, key, docs_per_language).select("key", "lang", "text", half), "language-sample")
-    counted = materialise(_counted(sample.coalesce(4), "half"), "half-counts")
+    lessons = _lessons(docs, text, lang, key, docs_per_language).select("key", "lang", "text", half)
+    counted = materialise(_counted(lessons, "half"), "half-counts")
     rates: dict[str, float] = {}
     for n in (0, 1):
-        model = build(counted.filter(F.col("half") != n).drop("half").toPandas())
+        model = build(_frequent(counted.filter(F.col("half") != n).drop("half")))
         if model is None:
             continue
         shared = docs.sparkSession.sparkContext.broadcast(model)
-        coded = predict(sample.filter(F.col("half") == n), model, into=("__lang", "__score"), rate="__rate", shared=shared)
+        coded = predict(lessons.filter(F.col("half") == n), model, into=("__lang", "__score"), rate="__rate", shared=shared)
         for name, most in coded.groupBy("lang").agg(F.max("__rate")).collect():
             if name in model.languages and most is not None:
                 rates[name] = max(most, rates.get(name, 8.0))

@@ -93,3 +93,32 @@ def test_fold(spark, key, out):
     import zlib
     r = spark.createDataFrame([(key,)], "doc_id long").select(langid.held_out().alias("h")).first().h
     assert r == (key is not None and zlib.crc32(str(key).encode()) % 3 == 1)
+
+
+def test_all_texts_teach_not_a_sample(spark):
+    """The one text whose language knows a word, and the one with the highest rate, are among many others."""
+    rows = [(i, "the cat and the dog", "en") for i in range(1600)] + [(i, "le chat et la vie", "fr") for i in range(1600, 1605)]
+    strange = [(5000 + i, "qxz" * 20, "en") for i in range(2)]
+    docs = spark.createDataFrame(rows + strange, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(docs)
+    sampled = langid.train(docs, docs_per_language=5)
+    bits, fewer = (langid.code_lengths(["qxzqxz"], m)[0, 0] for m in (model, sampled))
+    assert bits < fewer and model.languages == ["en", "fr"]
+    alone = spark.createDataFrame(rows + [(5000, "zqwx" * 40, "en")], "doc_id long, text string, lang string")
+    assert langid.highest_rates(alone)["en"] > 8 == langid.highest_rates(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["en"]
+
+
+def test_counts_of_cut_contexts_stay_in_the_shorter_ones(spark):
+    counts = langid.count_contexts(frame(spark))
+    table = spark.createDataFrame(counts)
+    full = langid.build(counts)
+    for room in (langid.MOST_BYTES, full.cost.nbytes * 3 // 4, 1):
+        a, b = langid.build(counts, room), langid.build(langid._frequent(table, room), room)
+        assert np.allclose(a.cost, b.cost) and (a.context == b.context).all()
+
+
+def test_of_repeated_keys_the_smallest_text_teaches(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD", 3)
+    once = langid.train(frame(spark))
+    more = frame(spark).withColumn("text", F.concat("text", F.lit(" and more")))
+    assert np.allclose(langid.train(frame(spark).union(more).union(frame(spark))).cost, once.cost)
