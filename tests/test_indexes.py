@@ -138,3 +138,17 @@ def test_cells_of_nothing(spark):
     vector_cells.write_cells(spark.createDataFrame([(1, None)], "id long, v array<double>"), "id", "v", path, 4)
     asked = spark.createDataFrame([("q", [1.0, 2.0])], "query string, vector array<double>")
     assert vector_cells.search(spark, path, asked, 5, key="id").count() == 0
+
+
+def test_scores_stay_with_their_block(spark, written, monkeypatch):
+    """Of a block at most the documents near the best k leave, ties by document; requests come in parts."""
+    docs, path = written
+    monkeypatch.setattr(text_index, "REQUESTS", 2)
+    asked = [(f"q{i}", f"word{i} word{i + 1} word0") for i in range(7)] + [(None, "word1")]
+    got = {}
+    for r in text_index.search(spark, path, spark.createDataFrame(asked, "query string, text string"), 3).collect():
+        got.setdefault(r["query"], []).append((r.position, r.doc_id, round(r.score, 9)))
+    for name, t in asked[:-1]:
+        assert [x[1:] for x in sorted(got[name])] == [(i, round(v, 9)) for i, v in bm25(docs, t, 3)]
+    assert None not in got
+    assert text_index._best(np.array([1.0, 3, 1, 1, 3 - 1e-12, 1]), 3).tolist() == [1, 4, 0, 2, 3]
