@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from heapq import nlargest
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.paths import file_extension
 from ..functions.text import terms
+from ..sources.sinks import materialise
 from .joins import attach
 from .ranking import top_per_key
 from .schema import q
@@ -17,6 +22,8 @@ CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
 PAGE_SIZE, PAGE_OVERLAP = 2000, 200
 MAX_FILE_MB = 100
 STEPS_PER_BLOCK = 64
+# Most terms, the most frequent ones, whose document frequencies go to all tasks.
+FREQUENT = 100_000
 SUPPORTED_FORMATS = {
     "document": [".pdf", ".txt", ".doc", ".docx", ".md"],
     "spreadsheet": [".xlsx", ".csv", ".xls"],
@@ -98,11 +105,61 @@ def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:
     return attach(tf, idf, "term", how="inner").select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
+def _heavy(idf: dict[str, float], low: float, high: float, n: int):
+    """Finds ``term, tf`` of the terms of a text that may be among its ``n`` heaviest. Terms not in ``idf`` weigh between
+    ``low`` and ``high`` for each time they occur; of terms of equal known weight the first ``n`` are enough."""
+    def of(text: str) -> list[dict]:
+        counts = Counter(text.split())
+        known = sorted((-tf * idf[t], t) for t, tf in counts.items() if t in idf)
+        others = [t for t in counts if t not in idf]
+        best = nlargest(n, [-w for w, _ in known[:n]] + [counts[t] * low for t in others])
+        # A margin for rounding.
+        least = best[-1] - 1e-8 if len(best) == n else 0.0
+        kept, last, equal = [], None, 0
+        for w, t in known:
+            equal = equal + 1 if w == last else 1
+            last = w
+            if -w < least:
+                break
+            if equal <= n:
+                kept.append(t)
+        kept += [t for t in others if counts[t] * high >= least]
+        return [{"term": t, "tf": counts[t]} for t in kept]
+    return of
+
+
 def key_phrases(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
     """The ``n`` heaviest terms per document. Weights are compared to nine decimals so that terms
-    tied but for rounding fall in alphabetical order."""
-    weight = F.round("weight", 9)
-    return top_per_key(term_weights(df, key, text), [key], [weight.desc(), F.col("term")], n, rank="position")
+    tied but for rounding fall in alphabetical order.
+
+    A term's documents are counted over the whole corpus. Terms are then counted row by row, and only those leave it
+    that may be among the heaviest by the frequencies of the ``FREQUENT`` most frequent terms and bounds for all others;
+    these are weighed exactly. Rows of a repeated key are one document and go term by term.
+    """
+    rows = df.select(q(key).alias("__id"), terms(q(text)).alias("__t"))
+    repeated = materialise(rows.groupBy("__id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("__id").alias("__k")), "repeated-keys")
+    once, merged = rows, None
+    if not repeated.isEmpty():
+        same = F.col("__id").eqNullSafe(F.col("__k"))
+        once = rows.join(repeated, same, "left_anti")
+        merged = rows.join(repeated, same, "left_semi").select("__id", F.explode("__t").alias("term")).groupBy("__id", "term").agg(F.count("*").alias("tf"))
+    held = once.select(F.explode(F.array_distinct("__t")).alias("term"))
+    size = df.count()
+    counts = (held if merged is None else held.union(merged.select("term"))).groupBy("term").agg(F.count("*").alias("df"))
+    idf = materialise(counts.select("term", (F.log((1.0 + size) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "term-weights")
+    frequent = {r.term: r.idf for r in idf.orderBy("idf", "term").limit(FREQUENT).collect()}
+    # A term that is not among them is no more frequent than any of them.
+    shared = df.sparkSession.sparkContext.broadcast((frequent, max(frequent.values(), default=1.0), math.log((1.0 + size) / 2.0) + 1.0))
+
+    @F.pandas_udf("array<struct<term:string,tf:bigint>>")
+    def heavy(found: pd.Series) -> pd.Series:
+        return found.map(_heavy(*shared.value, n))
+
+    # Terms hold no blanks.
+    candidates = once.select("__id", F.inline(heavy(F.array_join("__t", " "))))
+    pairs = candidates if merged is None else candidates.union(merged)
+    weights = attach(pairs, idf, "term", how="inner").select(F.col("__id").alias(key), "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    return top_per_key(weights, [key], [F.round("weight", 9).desc(), F.col("term")], n, rank="position")
 
 
 def quantities(c: Column) -> Column:

@@ -229,6 +229,33 @@ def test_described_fields(spark):
     assert [(r["id"], [tuple(x) for x in r["described"]]) for r in got] == [(1, [("b", "B"), ("a", "A")])]
 
 
+def test_frequent_fields_do_not_travel(spark):
+    """An unknown and a known field of most rows are not shuffled for the lookup."""
+    d = spark.createDataFrame([(i, ["none", f"f{i % 50}", "often", None]) for i in range(200)], "id int, f array<string>")
+    words = spark.createDataFrame([(f"f{i}", f"F{i}") for i in range(0, 50, 2)] + [("often", "O")], "field string, description string")
+    found = schema.describe_fields(d, "id", "f", words)
+    got = {r["id"]: [tuple(x) for x in r["described"]] for r in found.collect()}
+    assert got == {i: [(f"f{i % 50}", f"F{i % 50}")] * (i % 2 == 0) + [("often", "O")] for i in range(200)}
+    plan = found._jdf.queryExecution().toString()
+    assert "none" in plan and "broadcast" in plan
+    empty = schema.describe_fields(d.filter("false"), "id", "f", words)
+    assert empty.count() == 0
+
+
+def test_terms_are_summed_within_rows(spark):
+    """No row a term; rows of equal ids and unlike texts are one record, equal ones count once."""
+    rows_ = [(1, "red car", "a red car", "car", "the red car"), (2, "", "", "", ""), (3, "x1 y1", "y1 y1 z1", "", None)]
+    names = "id int, question string, answer string, truth string, context string"
+    d = spark.createDataFrame(rows_, names)
+    found = scoring.term_similarity(d, ["id"], list(scoring.SLOTS), scoring.PAIRS)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    of = lambda df: {r["id"]: tuple(round(v, 9) for v in r[1:]) for r in scoring.term_similarity(df, ["id"], list(scoring.SLOTS), scoring.PAIRS).collect()}
+    once = of(d)
+    assert of(d.union(d)) == once and once[2] == (False, 0, 0, 0, 0)
+    halves = spark.createDataFrame([(3, "x1", "y1", "", None), (3, "y1", "y1 z1", "", None), rows_[0], rows_[1]], names)
+    assert of(halves) == once
+
+
 def test_chunks_cover_the_text(spark):
     texts = ["", "x" * 999, "y" * 1000, "z" * 1001, "".join(chr(97 + i % 26) for i in range(4321))]
     d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
@@ -260,6 +287,21 @@ def test_key_phrases(spark):
     assert got == [(1, "apple"), (2, "plum"), (3, "pear")]
 
 
+def test_key_phrases_are_those_of_all_weights(spark, monkeypatch):
+    """With bounds for all but three terms, ties, repeated and missing keys; few terms leave their row."""
+    rng = random.Random(5)
+    texts = [(i if i < 55 else 7 if i < 58 else None, " ".join(rng.choices([f"w{j}" for j in range(30)], [1 / (1 + j) for j in range(30)], k=rng.randint(0, 25)))) for i in range(60)]
+    d = spark.createDataFrame(texts + [(99, None)], "id int, text string")
+    order = [F.round("weight", 9).desc(), F.col("term")]
+    want = rows(ranking.top_per_key(documents.term_weights(d, "id", "text"), ["id"], order, 3, rank="position").withColumn("weight", F.round("weight", 9)))
+    for frequent in (documents.FREQUENT, 3, 1):
+        monkeypatch.setattr(documents, "FREQUENT", frequent)
+        assert rows(documents.key_phrases(d, "id", "text", 3).withColumn("weight", F.round("weight", 9))) == want
+    of = documents._heavy({t: 2.0 for t in "abcdefgh"}, 2.5, 9.0, 2)
+    assert of("a b c d e f g h") == [{"term": "a", "tf": 1}, {"term": "b", "tf": 1}]
+    assert of("a a a a a b z") == [{"term": "a", "tf": 5}, {"term": "z", "tf": 1}] and of("") == []
+
+
 def test_vector_hits_against_numpy(spark):
     rnd = np.random.default_rng(5)
     v = rnd.normal(size=(200, 16)).astype("float32")
