@@ -42,12 +42,19 @@ def write_lookup(catalogue: DataFrame, columns: Column, path: str, buckets: int
 
 def relevant_files(spark: SparkSession, path: str, questions: DataFrame, question: str = "question", text: str = "text", k: int = FILES_PER_QUESTION) -> DataFrame:
     """Best ``k`` files of each question: ``question, path, score, position``. A word counts once for each place it
-    stands in; ties fall in path order; only files with a hit. Texts under one name are one question."""
+    stands in; ties fall in path order; only files with a hit. Texts under one name are one question.
+
+    Files that hold the same asked words in as many places score alike for every question, so the first ``k`` paths of
+    each such group are enough; questions meet groups, not files.
+    """
     buckets = spark.read.parquet(f"{path}/layout").first()[0]
     asked = questions.select(q(question).alias("question"), F.explode(tokens_of(q(text))).alias("token")).distinct()
     asked = materialise(asked.withColumn("bucket", bucket_of(F.col("token"), buckets)), "asked-tokens")
     # At most as many numbers as there are buckets; as literals they are partition filters of the scan.
     read = sorted(r[0] for r in asked.select("bucket").distinct().collect())
     table = spark.read.schema(TOKENS).parquet(f"{path}/tokens").filter(F.col("bucket").isin(read))
-    scores = table.join(asked, ["bucket", "token"]).groupBy("question", "path").agg(F.sum("places").alias("score"))
+    held = table.join(asked.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")
+    files = held.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("token", "places"))).alias("found"))
+    first = top_per_key(files, ["found"], [F.col("path")], k)
+    scores = first.select("path", F.inline("found")).join(asked.select("question", "token"), "token").groupBy("question", "path").agg(F.sum("places").alias("score"))
     return top_per_key(scores, ["question"], [F.desc("score"), F.col("path")], k, rank="position").select("question", "path", "score", "position")

@@ -40,6 +40,17 @@ def test_lookup_equals_pass_over_catalogue(spark):
         assert [(p, s) for _, p, s in sorted(got.get(name, []))] == brute(files, text, 4), name
 
 
+def test_questions_meet_groups_of_files(spark):
+    """Files that hold the same asked words are one group, of which no more than k go on."""
+    path = scratch(spark, "lookup")
+    df = spark.createDataFrame([(f"lake/orders_{i}.csv", None, ["total"]) for i in range(500)], "path string, scenario string, columns array<string>")
+    file_lookup.write_lookup(df.repartition(4), F.col("columns"), path, 4)
+    found = file_lookup.relevant_files(spark, path, spark.createDataFrame([(str(i), "total orders" if i % 2 else "lake") for i in range(20)], "question string, text string"), k=2)
+    assert rows(found) == sorted(((str(i), f"lake/orders_{j}.csv", 2 if i % 2 else 1, p) for i in range(20) for p, j in ((1, 0), (2, 1))), key=repr)
+    plan = found._jdf.queryExecution().toString()
+    assert plan.count("Window") >= 2 and "collect_list" in plan
+
+
 def test_lookup_reads_the_asked_buckets_only(spark):
     path = scratch(spark, "lookup")
     file_lookup.write_lookup(spark.createDataFrame(some_files(random.Random(3)), "path string, scenario string, columns array<string>"), F.col("columns"), path, 16)
