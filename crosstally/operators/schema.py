@@ -86,11 +86,24 @@ def describe_codes(df: DataFrame, mappings: dict[str, tuple[DataFrame, bool]]) -
     return df
 
 
+# Fields with more than this share of all entries are looked up apart from the others.
+FREQUENT_FIELDS = 1 / 64
+
+
 def describe_fields(df: DataFrame, key: str, fields: str, dictionary: DataFrame) -> DataFrame:
     """Per row (unique ``key``) the known entries of a list of field names as (field, description)
-    structs in list order. ``dictionary``: field, description, one row per field."""
-    each = df.select(q(key), F.posexplode(q(fields)).alias("position", "field"))
-    found = each.join(dictionary.select("field", "description"), "field")
+    structs in list order. ``dictionary``: field, description, one row per field.
+
+    The most frequent fields, known or not, do not travel: their few descriptions go to all tasks. Any choice of them
+    gives the same rows; the one taken has all above ``FREQUENT_FIELDS``.
+    """
+    each = df.select(q(key), F.posexplode(q(fields)).alias("position", "field")).filter("field is not null")
+    known = dictionary.select("field", "description")
+    often = each.select("field").stat.freqItems(["field"], FREQUENT_FIELDS).first()[0]
+    there = F.col("field").isin(often)
+    columns = [q(key), "position", "field", "description"]
+    found = each.filter(there).join(F.broadcast(known.filter(there)), "field").select(*columns).union(
+        each.filter(~there).join(known, "field").select(*columns))
     listed = F.array_sort(F.collect_list(F.struct("position", "field", "description")))
     return found.groupBy(q(key)).agg(
         F.transform(listed, lambda x: F.struct(x["field"].alias("field"), x["description"].alias("description"))).alias("described"))
