@@ -118,14 +118,15 @@ def _frequent(counts: DataFrame, most_bytes: int = MOST_BYTES) -> pd.DataFrame:
     by_byte = counts.select("lang", F.col("code").bitwiseAND(255).alias("byte")).distinct().collect()
     size, languages = 1 + len({r.byte for r in by_byte}), len({r.lang for r in by_byte})
     if not by_byte:
-        return counts.limit(0).toPandas()
+        return pd.DataFrame({"lang": [], "code": [], "n": []})
     context = F.shiftright("code", 8)
     kept = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("visits")).orderBy(F.desc("visits"), "context").limit(
         most_bytes // (4 * size * languages)).select("context")
     whole = counts.join(kept, context == F.col("context"), "left_semi")
     cut = counts.join(kept, context == F.col("context"), "left_anti").groupBy(
         "lang", (F.col("code").bitwiseAND(0xFFFFFF) + SHORT).alias("code")).agg(F.sum("n").alias("n"))
-    return whole.select("lang", "code", "n").union(cut).toPandas()
+    # As Arrow whatever the session says: rows would take the driver some hundred bytes each.
+    return whole.select("lang", "code", "n").union(cut).toArrow().to_pandas()
 
 
 def _backed_off(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
